@@ -490,7 +490,7 @@ CMI_BODY = f"""select attr_num1, attr_num2, {sql_rounded('cmi')} from cmi
 def m1(spark, sf):
     ts = f1_set(spark, sf)
     xy = staging.stage(C.attr_class_counts(ts), "xy")
-    mi = M.mutual_information_complete(xy, C.class_counts_of(xy, ts.attr_nums[0]))
+    mi = M.mutual_information_complete(M.attribute_terms(xy), C.class_counts_of(xy, ts.attr_nums[0]))
     return named(mi.select("attr_num", rounded("mi")), ts.names)
 
 
@@ -505,7 +505,7 @@ def m1_drop(spark, sf):
 @query("m2_conditional_mutual_information", O.with_ctes(O.measure_ctes(X.F1), CMI_BODY))
 def m2(spark, sf):
     xy, pairs, y = _staged(f1_set(spark, sf))
-    cmi = M.both_directions(M.conditional_mutual_information_complete(pairs, xy, y))
+    cmi = M.both_directions(M.conditional_mutual_information_complete(pairs, M.attribute_terms(xy), y))
     return cmi.select("attr_num1", "attr_num2", rounded("cmi"))
 
 
@@ -523,7 +523,7 @@ def m2_drop(spark, sf):
 def t1(spark, sf):
     ts = f1_set(spark, sf)
     xy = staging.stage(C.attr_class_counts(ts), "xy")
-    ranked = T.rank_attributes(M.mutual_information_complete(xy, C.class_counts_of(xy, ts.attr_nums[0])))
+    ranked = T.rank_attributes(M.mutual_information_complete(M.attribute_terms(xy), C.class_counts_of(xy, ts.attr_nums[0])))
     return named(ranked.select("attr_num", rounded("mi"), "mi_rank"), ts.names)
 
 

@@ -16,6 +16,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -44,6 +46,10 @@ def differences(spark: SparkSession, con, fn, sql: str, sf_dir: str) -> str | No
     want = cur.fetchall()
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} / {sorted(columns)}"
+    types = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in cur.description}
+    wrong = {n: (t, types[n]) for n, t in df.dtypes if t != types[n]}
+    if wrong:
+        return f"types {wrong}"
     a, b = _rows(df.columns, got), _rows(columns, want)
     if a == b:
         return None

@@ -39,19 +39,37 @@ def mutual_information(xy: DataFrame, y: DataFrame) -> DataFrame:
     )
 
 
-def mutual_information_complete(xy: DataFrame, y: DataFrame) -> DataFrame:
-    """MI for counts without nulls: no join, two small aggregates."""
-    n_total = total(y)
-    class_term = y.agg(F.sum(_n_log_n(F.col("n")))).scalar()
+def attribute_terms(xy: DataFrame) -> DataFrame:
+    """Per attribute: sums of n*log2(n) over its cells and its values, and num_values.
+
+    One pass over the attribute counts feeds MI, CMI and the domain sizes.
+    """
     return (
         xy.groupBy("attr_num", "attr_value")
         .agg(F.sum("n").alias("n_value"), F.sum(_n_log_n(F.col("n"))).alias("cell_term"))
         .groupBy("attr_num")
-        .agg(F.sum(F.col("cell_term") - _n_log_n(F.col("n_value"))).alias("given_value"))
-        .select("attr_num", ((F.col("given_value") + _n_log_n(n_total) - class_term) / n_total).alias("mi"))
+        .agg(
+            F.sum("cell_term").alias("cell_term"),
+            F.sum(_n_log_n(F.col("n_value"))).alias("value_term"),
+            F.count(F.lit(1)).alias("num_values"),
+        )
     )
 
 
+def class_terms(y: DataFrame) -> Column:
+    """(rows, sum of n*log2(n)) over the classes, as one scalar subquery."""
+    n = F.col("n")
+    return y.agg(F.struct(F.sum("n").cast("double").alias("rows"), F.sum(_n_log_n(n)).alias("term"))).scalar()
+
+
+def mutual_information_complete(terms: DataFrame, y: DataFrame) -> DataFrame:
+    """MI for counts without nulls, from ``attribute_terms``: no join at all."""
+    classes = class_terms(y)
+    rows, term = classes["rows"], classes["term"]
+    given_value = F.col("cell_term") - F.col("value_term")
+    return terms.select("attr_num", ((given_value + _n_log_n(rows) - term) / rows).alias("mi"))
+
+
 def conditional_mutual_information(pairs: DataFrame, xy: DataFrame, y: DataFrame) -> DataFrame:
     """CMI(a1; a2 | class) in bits, one row per unordered pair."""
     left = xy.select(
@@ -73,26 +91,27 @@ def conditional_mutual_information(pairs: DataFrame, xy: DataFrame, y: DataFrame
     )
 
 
-def conditional_mutual_information_complete(pairs: DataFrame, xy: DataFrame, y: DataFrame) -> DataFrame:
-    """CMI for counts without nulls: the pair table is only aggregated."""
-    n_total = total(y)
-    class_term = y.agg(F.sum(_n_log_n(F.col("n")))).scalar()
-    single = xy.groupBy("attr_num").agg(F.sum(_n_log_n(F.col("n"))).alias("term"))
+def conditional_mutual_information_complete(pairs: DataFrame, terms: DataFrame, y: DataFrame) -> DataFrame:
+    """CMI for counts without nulls: the pair table is only aggregated.
+
+    The joins are between tables of one row per attribute or attribute pair.
+    """
+    classes = class_terms(y)
     joint = pairs.groupBy("attr_num1", "attr_num2").agg(F.sum(_n_log_n(F.col("n"))).alias("joint_term"))
-    first = single.select(F.col("attr_num").alias("attr_num1"), F.col("term").alias("term1"))
-    second = single.select(F.col("attr_num").alias("attr_num2"), F.col("term").alias("term2"))
+    first = terms.select(F.col("attr_num").alias("attr_num1"), F.col("cell_term").alias("term1"))
+    second = terms.select(F.col("attr_num").alias("attr_num2"), F.col("cell_term").alias("term2"))
+    gain = (F.col("joint_term") - F.col("term1")) + (classes["term"] - F.col("term2"))
     return (
         joint.join(first, "attr_num1")
         .join(second, "attr_num2")
-        .select(
-            "attr_num1",
-            "attr_num2",
-            ((F.col("joint_term") - F.col("term1") + (class_term - F.col("term2"))) / n_total).alias("cmi"),
-        )
+        .select("attr_num1", "attr_num2", (gain / classes["rows"]).alias("cmi"))
     )
 
 
 def both_directions(cmi: DataFrame) -> DataFrame:
     """CMI is symmetric: mirror the small result, not the counts."""
-    swapped = cmi.select(F.col("attr_num2").alias("attr_num1"), F.col("attr_num1").alias("attr_num2"), "cmi")
-    return cmi.unionByName(swapped)
+    a, b = F.col("attr_num1"), F.col("attr_num2")
+    orders = F.array(
+        F.struct(a.alias("attr_num1"), b.alias("attr_num2")), F.struct(b.alias("attr_num1"), a.alias("attr_num2"))
+    )
+    return cmi.select(F.explode(orders).alias("o"), "cmi").select("o.*", "cmi")

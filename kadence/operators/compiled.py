@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kadence.conventions import parent_columns
 from kadence.functions.probability import log_m_estimate
 from kadence.operators.network import Network
 from kadence.operators.params import cell_columns, path_columns
@@ -17,15 +16,18 @@ from kadence.sources.staging import stage
 # Beyond it the join is left to Spark, which shuffles both sides by key.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
+SLICE = ["level", "attr_num"]
+
 
 @dataclass(frozen=True)
 class CompiledModel:
     """Staged lookup tables and the small facts needed to plan with them.
 
-    ``cells``: cell key, level, class vectors ``n``, ``parents_count`` and
-    ``log_prob``, and ``support`` (rows over all classes).
-    ``paths``: path key, level and ``zero_log_prob``, the vector of a value
-    that was never seen under that path.
+    ``cells``: level, attr_num, attr_value, parents, class vectors ``n``,
+    ``parents_count`` and ``log_prob``, and ``support`` (rows over all classes).
+    ``paths``: level, attr_num, parents and ``zero_log_prob``, the vector of a
+    value that was never seen under that path. Both are partitioned by level and
+    attribute, so a lookup reads its own slice only.
     """
 
     net: Network
@@ -48,23 +50,7 @@ class CompiledModel:
         return rows * self.row_bytes(vectors) <= limit
 
 
-def cell_key(num: Column, level: Column, value: Column, parents: list[Column], k: int) -> Column:
-    """Lookup key; a struct key compares unbound (null) parents as equal."""
-    fields = [num.alias("attr_num"), level.alias("level"), value.alias("attr_value")]
-    return F.struct(*fields, *_padded(parents, k))
-
-
-def path_key(num: Column, level: Column, parents: list[Column], k: int) -> Column:
-    return F.struct(num.alias("attr_num"), level.alias("level"), *_padded(parents, k))
-
-
-def _padded(parents: list[Column], k: int) -> list[Column]:
-    null = F.lit(None).cast("string")
-    values = parents + [null] * (k - len(parents))
-    return [v.alias(c) for v, c in zip(values, parent_columns(k))]
-
-
-def _sorted_vectors(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _class_vectors(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Collect the (at most one per class) rows of each key in class order."""
     entries = F.array_sort(F.collect_list(F.struct("class", *columns)))
     vectors = [F.col(f"entries.{c}").alias(c) for c in columns]
@@ -79,23 +65,18 @@ def compile_model(model: DataFrame, structure: DataFrame, path: str | None = Non
     """
     net = Network.from_structure(structure)
     k = net.k
-    attrs = model.filter(F.col("attr_name").isNotNull())
     n, total, values = F.col("n"), F.col("parents_count"), F.col("num_values")
-    rows = attrs.withColumn("log_prob", log_m_estimate(n, total, values))
-    cells = _sorted_vectors(rows, cell_columns(k), ["n", "parents_count", "log_prob"]).select(
-        F.struct(*cell_columns(k)).alias("cell"),
-        "n",
-        "parents_count",
-        "log_prob",
-        F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("support"),
-        "level",
+    rows = model.filter(F.col("attr_name").isNotNull()).withColumn("log_prob", log_m_estimate(n, total, values))
+    support = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    cells = _class_vectors(rows, [*cell_columns(k), "num_values"], ["n", "parents_count", "log_prob"])
+    cells = stage(cells.withColumn("support", support), "cells", f"{path}/cells" if path else None, SLICE)
+    zero = F.transform("parents_count", lambda t: log_m_estimate(F.lit(0), t, F.col("num_values")))
+    paths = (
+        cells.groupBy(*path_columns(k), "num_values")
+        .agg(F.any_value("parents_count").alias("parents_count"))
+        .select(*path_columns(k), zero.alias("zero_log_prob"))
     )
-    zero = log_m_estimate(F.lit(0), F.max("parents_count"), F.max("num_values")).alias("zero_log_prob")
-    paths = _sorted_vectors(
-        attrs.groupBy(*path_columns(k), "class").agg(zero), path_columns(k), ["zero_log_prob"]
-    ).select(F.struct(*path_columns(k)).alias("path"), "zero_log_prob", "level")
-    cells = stage(cells, "cells", f"{path}/cells" if path else None, partition_by=["level"])
-    paths = stage(paths, "paths", f"{path}/paths" if path else None, partition_by=["level"])
+    paths = stage(paths, "paths", f"{path}/paths" if path else None, SLICE)
     priors = sorted((r["class"], r["n"]) for r in model.filter(F.col("attr_name").isNull()).select("class", "n").collect())
     return CompiledModel(
         net=net,

@@ -203,20 +203,24 @@ def path_counts(counts: DataFrame, k: int) -> DataFrame:
     return attribute_cells(counts).groupBy(*path_columns(k), "class").agg(F.sum("n").alias("n"))
 
 
-def _path_key(k: int) -> Column:
-    return F.struct(*[F.col(c) for c in path_columns(k)])
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Equality on keys where unbound (null) parents are equal."""
+    return [left[c].eqNullSafe(right[f"__{c}"]) if c.startswith("parent") else left[c] == right[f"__{c}"] for c in keys]
+
+
+def _join_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    right = right.withColumnsRenamed({c: f"__{c}" for c in keys})
+    return left.join(right, _same_key(left, right, keys), how).drop(*[f"__{c}" for c in keys])
 
 
 def with_parents_count(cells: DataFrame, counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
     """Attach the class vector of parent-path totals to class-vector cells.
 
     Totals come from an aggregate joined back rather than a window, so a wide
-    attribute's level-0 group never has to fit one task. Struct keys compare
-    unbound (null) parents as equal.
+    attribute's level-0 group never has to fit one task.
     """
-    totals = class_vectors(path_counts(counts, k), path_columns(k), class_list(y), "parents_count")
-    totals = totals.select(_path_key(k).alias("path"), "parents_count")
-    return cells.withColumn("path", _path_key(k)).join(totals, "path").drop("path")
+    keys = path_columns(k)
+    return _join_on_key(cells, class_vectors(path_counts(counts, k), keys, class_list(y), "parents_count"), keys)
 
 
 def sparse_cells(counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
@@ -228,7 +232,7 @@ def sparse_cells(counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
 def dense_cells(counts: DataFrame, y: DataFrame, k: int, domains: DataFrame | None = None) -> DataFrame:
     """Every domain value under every observed parent path, with class vectors.
 
-    Paths meet their attribute's domain on (attribute, copy): a copy number
+    Paths meet their attribute's domain on (attribute, copy); a copy number
     derived from the path keeps one attribute from landing in one task.
     """
     classes = class_list(y)
@@ -239,13 +243,10 @@ def dense_cells(counts: DataFrame, y: DataFrame, k: int, domains: DataFrame | No
     copy = F.pmod(F.xxhash64(*[F.col(c) for c in path_columns(k)]), F.lit(DOMAIN_COPIES)).cast("int")
     copies = domains.select("attr_num", "attr_value", F.explode(F.sequence(F.lit(0), F.lit(DOMAIN_COPIES - 1))).alias("copy"))
     grid = paths.withColumn("copy", copy).join(copies, ["attr_num", "copy"]).drop("copy")
-    key = F.struct(*[F.col(c) for c in cell_columns(k)])
-    seen = class_vectors(attribute_cells(counts), cell_columns(k), classes, "n").select(key.alias("cell"), "n")
+    seen = class_vectors(attribute_cells(counts), cell_columns(k), classes, "n")
     zeros = F.transform(F.col("parents_count"), lambda _: F.lit(0).cast("bigint"))
-    return (
-        grid.withColumn("cell", key)
-        .join(seen, "cell", "left")
-        .select(*cell_columns(k), F.coalesce("n", zeros).alias("n"), "parents_count")
+    return _join_on_key(grid, seen, cell_columns(k), "left").select(
+        *cell_columns(k), F.coalesce("n", zeros).alias("n"), "parents_count"
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kadence.conventions import NULL_TOKEN, parent_columns
 from kadence.functions.probability import m_estimate, normalise_logs
-from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel, cell_key, path_key
+from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel
 from kadence.operators.network import Network
 from kadence.operators.params import evidence_struct
 from kadence.sources.training import category
@@ -81,12 +81,23 @@ def rows_to_evidence(rows: DataFrame, net: Network, keep: Sequence[str] = (), dr
     return lines.filter(has_value)
 
 
-def _look_up(df: DataFrame, key: Column, table: DataFrame, key_name: str, columns: dict[str, str], small: bool) -> DataFrame:
-    """Left equi-join of a lookup table on one struct key."""
-    right = table.select(F.col(key_name).alias("__key"), *[F.col(c).alias(out) for c, out in columns.items()])
+def _look_up(df: DataFrame, keys: dict[str, Column], table: DataFrame, columns: dict[str, str], small: bool) -> DataFrame:
+    """Left equi-join of a lookup table; ``keys`` maps its key columns to values of ``df``.
+
+    A null value never matches.
+    """
+    right = table.select(
+        *[F.col(c).alias(f"__{c}") for c in keys], *[F.col(c).alias(out) for c, out in columns.items()]
+    )
     if small:
         right = F.broadcast(right)
-    return df.join(right, key == F.col("__key"), "left").drop("__key")
+    same = [value == F.col(f"__{c}") for c, value in keys.items()]
+    return df.join(right, same, "left").drop(*[f"__{c}" for c in keys])
+
+
+def _slice(table: DataFrame, level: int, attr_num: int | None = None) -> DataFrame:
+    rows = table.filter(F.col("level") == level)
+    return rows if attr_num is None else rows.filter(F.col("attr_num") == attr_num)
 
 
 def match_with_backoff(
@@ -100,14 +111,10 @@ def match_with_backoff(
     Adds ``<column>_<level>`` for levels 0..k, null where the level has no such
     cell. Each level is one equi-join on the value and that many parents.
     """
-    k = model.k
-    for level in range(k + 1):
-        key = cell_key(
-            F.col("attr_num"), F.lit(level), F.col("attr_value"), [F.col(c) for c in parent_columns(level)], k
-        )
+    for level in range(model.k + 1):
+        keys = {c: F.col(c) for c in ("attr_num", "attr_value", *parent_columns(level))}
         small = model.fits(model.cell_rows.get(level, 0), limit, len(columns))
-        table = model.cells.filter(F.col("level") == level)
-        evidence = _look_up(evidence, key, table, "cell", {c: f"{c}_{level}" for c in columns}, small)
+        evidence = _look_up(evidence, keys, _slice(model.cells, level), {c: f"{c}_{level}" for c in columns}, small)
     return evidence
 
 
@@ -149,10 +156,9 @@ def _scores_by_evidence(rows: DataFrame, model: CompiledModel, keep: Sequence[st
     lines = match_with_backoff(rows_to_evidence(rows, model.net, keep, drop_null=False), model, ["log_prob"], limit)
     if backoff == "path":
         for level in range(1, k + 1):
-            key = path_key(F.col("attr_num"), F.lit(level), [F.col(c) for c in parent_columns(level)], k)
-            table = model.paths.filter(F.col("level") == level)
+            keys = {c: F.col(c) for c in ("attr_num", *parent_columns(level))}
             small = model.fits(model.path_rows.get(level, 0), limit)
-            lines = _look_up(lines, key, table, "path", {"zero_log_prob": f"zero_{level}"}, small)
+            lines = _look_up(lines, keys, _slice(model.paths, level), {"zero_log_prob": f"zero_{level}"}, small)
     levels = range(k + 1)
     best = _deepest_vector([f"log_prob_{i}" for i in levels], [f"zero_{i}" for i in levels], backoff)
     lines = lines.select(ROW_ID, *keep, best.alias("best"))
@@ -164,20 +170,20 @@ def _scores_by_evidence(rows: DataFrame, model: CompiledModel, keep: Sequence[st
 
 
 def _scores_by_row(rows: DataFrame, model: CompiledModel, keep: Sequence[str], backoff: str) -> DataFrame:
-    net, k = model.net, model.k
+    net = model.net
     slots = [_slot(net, n.name) for n in net.nodes]
     scores = [f"score_{i}" for i in range(len(model.classes))]
     df = rows.select("*", *[F.lit(0.0).alias(s) for s in scores], F.lit(0).cast("bigint").alias("matched"))
     for node in net.nodes:
-        num, value = F.lit(node.attr_num), F.col(_slot(net, node.name))
-        parents = [F.col(_slot(net, p)) for p in node.parents]
-        levels = range(len(parents) + 1)
+        bound = {c: F.col(_slot(net, p)) for c, p in zip(parent_columns(len(node.parents)), node.parents)}
+        value = F.col(_slot(net, node.name))
+        levels = range(len(node.parents) + 1)
         for i in levels:
-            key = cell_key(num, F.lit(i), value, parents[:i], k)
-            df = _look_up(df, key, model.cells, "cell", {"log_prob": f"cell_{i}"}, small=True)
+            path = {c: bound[c] for c in parent_columns(i)}
+            cells, paths = _slice(model.cells, i, node.attr_num), _slice(model.paths, i, node.attr_num)
+            df = _look_up(df, {"attr_value": value, **path}, cells, {"log_prob": f"cell_{i}"}, small=True)
             if backoff == "path" and i:
-                key = path_key(num, F.lit(i), parents[:i], k)
-                df = _look_up(df, key, model.paths, "path", {"zero_log_prob": f"zero_{i}"}, small=True)
+                df = _look_up(df, path, paths, {"zero_log_prob": f"zero_{i}"}, small=True)
         best = _deepest_vector([f"cell_{i}" for i in levels], [f"zero_{i}" for i in levels], backoff)
         df = df.select(ROW_ID, *keep, *slots, *scores, "matched", best.alias("best")).select(
             ROW_ID,

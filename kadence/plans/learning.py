@@ -74,13 +74,16 @@ def structure_of(
     complete: bool,
 ) -> DataFrame:
     """Structure from count tables; ``complete`` counts take the join-free measures."""
-    mi = measures.mutual_information_complete(xy, y) if complete else measures.mutual_information(xy, y)
+    if complete:
+        terms = stage(measures.attribute_terms(xy).coalesce(1), "terms")
+        mi, sizes = measures.mutual_information_complete(terms, y), terms.select("attr_num", "num_values")
+    else:
+        mi, sizes = measures.mutual_information(xy, y), C.domain_sizes(xy)
     ranked = T.rank_attributes(mi)
-    sizes = C.domain_sizes(xy)
     if k == 0:
         return T.naive_structure(ranked, sizes, y, names, label, label_num)
     if complete:
-        cmi = measures.conditional_mutual_information_complete(pairs, xy, y)
+        cmi = measures.conditional_mutual_information_complete(pairs, terms, y)
     else:
         cmi = measures.conditional_mutual_information(pairs, xy, y)
     return T.assemble_structure(ranked, T.select_parents(ranked, cmi, k), sizes, y, names, label, label_num)
@@ -191,7 +194,7 @@ def learn_parameters(
         df.select(*used), net.label, null_policy=null_policy, null_token=null_token, empty_as_null=empty_as_null
     )
     counts = stage(conditional_counts(ts, net, pregroup), "conditional", _at(stage_path, "conditional"))
-    return model_table(counts, net, fill)
+    return stage(model_table(counts, net, fill), "model", _at(stage_path, "model"))
 
 
 def learn_parameters_star(
