@@ -244,29 +244,64 @@ def _cross_dims(a: EncodedDim, b: EncodedDim, keys: DataFrame) -> DataFrame:
     )
 
 
-def key_pair_ratio(star: StarSet, a: EncodedDim, b: EncodedDim) -> float:
-    """Distinct (fk, fk, class) over fact rows, from one approximate scan."""
-    cols = [F.col(f"`{c}`") for c in (a.fk, b.fk, star.fact.label)]
-    row = star.fact.df.agg(
-        F.approx_count_distinct(F.xxhash64(*cols)).alias("d"), F.count(F.lit(1)).alias("n")
-    ).first()
-    return row["d"] / row["n"] if row["n"] else 1.0
-
-
-def flat_key_pairs(star: StarSet, mode: str = "auto") -> set[tuple[int, int]]:
-    """Dimension pairs whose keys hardly repeat together.
-
-    Counting such key pairs would move almost every fact row without merging
-    any, so these pairs are counted over the joined rows instead.
+# A dimension is counted by key when each (key, class) covers this many fact rows
+# on average. With fewer, counts by key hardly merge rows and would move more
+# data than joining the dimension's columns to the fact.
+ROWS_PER_KEY = 100
+# A small dimension with few columns is joined even so: a broadcast join costs
+# less per fact row than counting by a key with many values.
+FEW_ATTRS = 4
+SMALL_DIM_BYTES = 64 * 1024 * 1024
+# Two foreign keys are counted together when each pair covers two rows or more.
+ROWS_PER_KEY_PAIR = 2
+
+
+def counted_by_key(dim: EncodedDim, n_rows: int, distinct_keys: int) -> bool:
+    """Whether counting by this dimension's key beats joining its columns to the fact."""
+    if n_rows < ROWS_PER_KEY * distinct_keys:
+        return False
+    small = distinct_keys * (32 + 24 * len(dim.attrs)) <= SMALL_DIM_BYTES
+    return not small or len(dim.attrs) >= FEW_ATTRS
+
+
+def key_statistics(star: StarSet) -> tuple[int, list[int], dict[tuple[int, int], int]]:
+    """Fact rows, distinct (key, class) per dimension and distinct key pairs, in one approximate scan."""
+    label = F.col(f"`{star.fact.label}`")
+    keys = [F.col(f"`{d.fk}`") for d in star.dims]
+    duos = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys))]
+    groups = [[k] for k in keys] + [[keys[i], keys[j]] for i, j in duos]
+    distinct = [F.approx_count_distinct(F.xxhash64(*g, label)).alias(f"d{n}") for n, g in enumerate(groups)]
+    row = star.fact.df.agg(F.count(F.lit(1)).alias("n"), *distinct).first()
+    counts = [max(row[f"d{n}"], 1) for n in range(len(groups))]
+    return row["n"], counts[: len(keys)], dict(zip(duos, counts[len(keys) :]))
+
+
+def join_dimensions(star: StarSet, which: Sequence[int]) -> StarSet:
+    """The star with some dimensions' columns moved into the fact table.
+
+    Left joins keep every fact row. A row without its dimension row has null in
+    the moved columns, which in encoded data means nothing else; those cells
+    are dropped from the counts, as an inner join would.
     """
-    if mode not in ("auto", "factorised", "flat"):
-        raise ValueError(f"unknown cross plan {mode!r}")
-    found = set()
-    for i, a in enumerate(star.dims):
-        for j in range(i + 1, len(star.dims)):
-            if mode == "flat" or (mode == "auto" and key_pair_ratio(star, a, star.dims[j]) > 0.5):
-                found.add((i, j))
-    return found
+    if not star.fact.complete:
+        raise ValueError("only the 'category' null policy tells a missing dimension row from a null value")
+    df, fact = star.fact.df, star.fact
+    names = dict(fact.names)
+    rest = [d for i, d in enumerate(star.dims) if i not in which]
+    for i in which:
+        d = star.dims[i]
+        right = d.df.withColumnRenamed("__pk", f"__pk{i}")
+        df = df.join(right, F.col(f"`{d.fk}`") == F.col(f"__pk{i}"), "left").drop(f"__pk{i}")
+        names.update(zip(d.attr_nums, d.attrs))
+    needed = {d.fk_num for d in rest}
+    moved = {star.dims[i].fk_num for i in which} - needed
+    unused = moved & set(star.dropped_keys)
+    nums = [n for n in sorted(names) if n not in unused]
+    columns = [F.col(f"`{c}`") for c in (fact.label, *[names[n] for n in nums])]
+    ts = TrainingSet(
+        df.select(*columns), fact.label, fact.label_num, tuple(names[n] for n in nums), tuple(nums), fact.null_policy
+    )
+    return StarSet(ts, star.fact_name, tuple(rest), star.names, star.owners)
 
 
 def star_pair_counts(

@@ -89,37 +89,71 @@ def structure_of(
     return T.assemble_structure(ranked, T.select_parents(ranked, cmi, k), sizes, y, names, label, label_num)
 
 
+def plan_star(star: S.StarSet, plan: str = "auto") -> tuple[S.StarSet, set[tuple[int, int]]]:
+    """Choose how each dimension is counted.
+
+    ``factorised`` counts all dimensions by key, ``joined`` joins them all to the
+    fact. ``auto`` measures how often keys repeat and decides per dimension; pairs
+    of keys that hardly repeat together are counted over joined rows. Without
+    the 'category' null policy every dimension is counted by key.
+    """
+    if plan not in ("auto", "factorised", "joined"):
+        raise ValueError(f"unknown star plan {plan!r}")
+    if plan == "joined":
+        return S.join_dimensions(star, range(len(star.dims))), set()
+    if plan == "factorised":
+        return star, set()
+    n_rows, per_key, per_pair = S.key_statistics(star)
+    by_key = [i for i, d in enumerate(star.dims) if not star.fact.complete or S.counted_by_key(d, n_rows, per_key[i])]
+    moved = [i for i in range(len(star.dims)) if i not in by_key]
+    # Key pairs that hardly repeat together: their cross counts come from joined rows.
+    flat = {
+        (by_key.index(i), by_key.index(j))
+        for (i, j), distinct in per_pair.items()
+        if i in by_key and j in by_key and n_rows < S.ROWS_PER_KEY_PAIR * distinct
+    }
+    return (S.join_dimensions(star, moved) if moved else star), flat
+
+
 def stage_star_counts(
     star: S.StarSet,
     with_pairs: bool = True,
-    cross: str = "auto",
+    plan: str = "auto",
     path: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Staged xy and pair counts of a whole star, unused keys removed, and n(class).
 
-    The fact table is scanned once; the dimensions are joined to its counts.
+    The fact table is scanned once for the counts; dimensions counted by key are
+    joined to those counts, never to the fact rows.
     """
-    fact_path, all_path = _at(path, "fact"), _at(path, "star")
-    fact_xy, fact_pairs, flat = None, None, set()
+    star, flat = plan_star(star, plan)
+    fact = star.fact
     if with_pairs:
-        flat = S.flat_key_pairs(star, cross)
-        skip = [(star.dims[i].fk, star.dims[j].fk) for i, j in flat if star.dims[i].fk_num != star.dims[j].fk_num]
-        kept_keys = {d.fk for d in star.dims if d.key_is_attr}
-        skip = [p for p in skip if not kept_keys.issuperset(p)]
-        fused = C.fused_counts(star.fact, skip_pairs=skip)
+        keys = {d.fk for d in star.dims if d.key_is_attr}
+        skip = [(star.dims[i].fk, star.dims[j].fk) for i, j in flat]
+        skip = [(a, b) for a, b in skip if a != b and not keys.issuperset((a, b))]
+        fused = C.fused_counts(fact, skip_pairs=skip)
         fused = fused.withColumn("pair", (F.col("attr_num1") != F.col("attr_num2")).cast("int"))
-        fused = stage(fused, "fact", fact_path, partition_by=["pair"])
+        fused = stage(fused, "fact", _at(path, "fact"), partition_by=["pair"])
         fact_xy = C.xy_of(fused.filter(F.col("pair") == 0))
         fact_pairs = fused.filter(F.col("pair") == 1).drop("pair")
     else:
-        fact_xy = stage(C.attr_class_counts(star.fact), "fact", fact_path)
+        fact_xy, fact_pairs = stage(C.attr_class_counts(fact), "fact", _at(path, "fact")), None
+    y = C.class_counts_of(fact_xy, fact.attr_nums[0])
+    if fact.complete:
+        # Only columns moved in from a dimension can be null here.
+        fact_xy = fact_xy.filter(F.col("attr_value").isNotNull())
+        if with_pairs:
+            fact_pairs = fact_pairs.filter(F.col("attr_value1").isNotNull() & F.col("attr_value2").isNotNull())
+    if not star.dims:
+        return fact_xy, fact_pairs, y
     xy = fact_xy.unionByName(S.star_attr_counts(star, fact_xy))
-    xy = stage(C.drop_key_attributes(xy, star.dropped_keys), "star_xy", _at(all_path, "xy"))
-    pairs = None
-    if with_pairs:
-        pairs = fact_pairs.unionByName(S.star_pair_counts(star, fact_xy, fact_pairs, flat))
-        pairs = stage(C.drop_key_attributes(pairs, star.dropped_keys), "star_pairs", _at(all_path, "pairs"))
-    return xy, pairs, C.class_counts_of(fact_xy, star.fact.attr_nums[0])
+    xy = stage(C.drop_key_attributes(xy, star.dropped_keys), "star_xy", _at(path, "star_xy"))
+    if not with_pairs:
+        return xy, None, y
+    pairs = fact_pairs.unionByName(S.star_pair_counts(star, fact_xy, fact_pairs, flat))
+    pairs = stage(C.drop_key_attributes(pairs, star.dropped_keys), "star_pairs", _at(path, "star_pairs"))
+    return xy, pairs, y
 
 
 def learn_structure_star(
@@ -132,11 +166,11 @@ def learn_structure_star(
     null_policy: str = "category",
     null_token: str = NULL_TOKEN,
     empty_as_null: bool = False,
-    cross: str = "auto",
+    plan: str = "auto",
     check_keys: bool = False,
     stage_path: str | None = None,
 ) -> DataFrame:
-    """The structure table over a star, without joining the fact rows.
+    """The structure table over a star; see ``plan_star`` for how it is counted.
 
     ``check_keys`` raises if fact rows point at missing dimension rows. Without
     it such rows still count for fact attributes, so the measures use the
@@ -155,7 +189,7 @@ def learn_structure_star(
         lost = S.orphan_keys(star, C.attr_class_counts(_keys_only(star))).filter("orphan_rows > 0").collect()
         if lost:
             raise ValueError("fact rows without a dimension row: " + ", ".join(f"{r.table_name} {r.orphan_rows}" for r in lost))
-    xy, pairs, y = stage_star_counts(star, k > 0, cross, stage_path)
+    xy, pairs, y = stage_star_counts(star, k > 0, plan, stage_path)
     complete = check_keys and star.fact.complete
     names = {n: a for n, a in star.names.items() if n not in star.dropped_keys}
     structure = structure_of(xy, pairs, y, k, names, star.fact.label, star.fact.label_num, complete)

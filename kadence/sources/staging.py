@@ -7,6 +7,7 @@ re-read and the written size lets Spark choose its joins on real statistics.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -20,10 +21,12 @@ def staging_root(spark: SparkSession) -> str:
     A private folder is made only where the session names none, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="kadence-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or _private_root(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.cache
+def _private_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"kadence-{application}-")
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
