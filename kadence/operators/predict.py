@@ -4,10 +4,10 @@ Two physical plans with the same result:
 
 * ``rowwise`` - every attribute looks its cell up in one broadcast table, level
   by level, and the class scores add up in columns of the row itself. Nothing
-  is shuffled. Used when the model fits the broadcast limit.
+  is shuffled. Used when the model fits the broadcast limit and is not too wide.
 * ``evidence`` - rows unpivot to (row, attribute) evidence that is joined to
   each level of the model by key and summed per row. Low levels are few and
-  hot, and are broadcast when small; deep levels shuffle.
+  hot, and are broadcast when small; deep levels shuffle. Row ids must be unique.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from kadence.sources.training import category
 
 ROW_ID = "row_id"
 
+# Most lookups the rowwise plan chains in one stage; wider networks unpivot.
+MAX_ROW_LOOKUPS = 60
+
 
 def with_row_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """The caller's id column as ``row_id``, else a generated number.
@@ -214,7 +217,8 @@ def class_log_scores(
         raise ValueError(f"unknown backoff {backoff!r}")
     if plan == "auto":
         lookups = sum(model.cell_rows.values()) + (sum(model.path_rows.values()) if backoff == "path" else 0)
-        plan = "rowwise" if model.fits(lookups, limit) else "evidence"
+        chain = sum(len(n.parents) + 1 for n in model.net.nodes) * (2 if backoff == "path" else 1)
+        plan = "rowwise" if model.fits(lookups, limit) and chain <= MAX_ROW_LOOKUPS else "evidence"
     if plan == "rowwise":
         scores = _scores_by_row(rows, model, keep, backoff)
     elif plan == "evidence":

@@ -60,7 +60,8 @@ def learn_structure(
         df.drop(*exclude), label, null_policy=null_policy, null_token=null_token, empty_as_null=empty_as_null
     )
     xy, pairs, y = stage_counts(ts, k > 0, pregroup, stage_path)
-    return structure_of(xy, pairs, y, k, ts.names, ts.label, ts.label_num, complete=ts.complete)
+    structure = structure_of(xy, pairs, y, k, ts.names, ts.label, ts.label_num, complete=ts.complete)
+    return stage(structure.coalesce(1), "structure", _at(stage_path, "structure"))
 
 
 def structure_of(
@@ -193,7 +194,7 @@ def learn_structure_star(
     complete = check_keys and star.fact.complete
     names = {n: a for n, a in star.names.items() if n not in star.dropped_keys}
     structure = structure_of(xy, pairs, y, k, names, star.fact.label, star.fact.label_num, complete)
-    return S.star_structure(structure, star)
+    return stage(S.star_structure(structure, star).coalesce(1), "structure", _at(stage_path, "structure"))
 
 
 def _keys_only(star: S.StarSet) -> TrainingSet:
