@@ -110,8 +110,9 @@ F2_KEY = Fixture(F2_BASE, {**F2_NUMS, "l_suppkey": 4}, "l_returnflag", 5)
 # --- F3: star with one dimension, and a row id -------------------------------
 
 
-def f3_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey", "o_orderpriority")
+def f3_fact(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
+    columns = ["o_orderstatus", "o_custkey", "o_orderpriority"] + (["o_orderkey"] if with_id else [])
+    return table(spark, sf_dir, "orders").select(*columns)
 
 
 def f3_dims(spark: SparkSession, sf_dir: str) -> list[Dim]:
@@ -121,7 +122,8 @@ def f3_dims(spark: SparkSession, sf_dir: str) -> list[Dim]:
 
 F3 = Fixture(
     """
-      select o_orderstatus, cast(c_nationkey as varchar) as c_nationkey, c_mktsegment, o_orderpriority as y
+      select o_orderstatus, cast(c_nationkey as varchar) as c_nationkey, c_mktsegment, o_orderpriority as y,
+             o_orderkey as row_id
       from orders join customer on o_custkey = c_custkey""",
     {"o_orderstatus": 0, "c_nationkey": 4, "c_mktsegment": 5},
     "o_orderpriority",

@@ -283,3 +283,61 @@ def loocv_ctes(fix: Fixture, parents_of: Mapping[str, Sequence[str]], joint: boo
   group by u.row_id, u.y, u.k, u.class""",
         ),
     ]
+
+
+# --- learn and score, with the structure found by SQL itself ------------------
+
+
+def learned_score_ctes(fix: Fixture, k: int) -> list[tuple[str, str]]:
+    """Structure, parameters and probabilities for any structure the data gives.
+
+    Rows are unpivoted, so parents are looked up by name and no level is
+    written out by hand. ``fix.base`` must have ``row_id``. Covers k = 2.
+    """
+    unpivot = " union all ".join(f"select row_id, y, '{a}' as attr, {a} as val from f" for a in fix.attrs)
+    keys = "attr, lvl, val, v1, v2"
+    return [
+        *structure_ctes(fix, k),
+        ("l", unpivot),
+        (
+            "par",
+            """select attr_name as attr, num_values, max(case when cmi_rank = 1 then parent end) as p1,
+                      max(case when cmi_rank = 2 then parent end) as p2
+               from structure where mi_rank is not null group by attr_name, num_values""",
+        ),
+        (
+            "ev",
+            """select l.row_id, l.y, l.attr, l.val, par.num_values, a.val as v1, b.val as v2
+               from l join par on par.attr = l.attr
+               left join l a on a.row_id = l.row_id and a.attr = par.p1
+               left join l b on b.row_id = l.row_id and b.attr = par.p2""",
+        ),
+        (
+            "lev",
+            """select row_id, y, attr, num_values, 0 as lvl, val, '' as v1, '' as v2 from ev
+               union all select row_id, y, attr, num_values, 1, val, v1, '' from ev where v1 is not null
+               union all select row_id, y, attr, num_values, 2, val, v1, v2 from ev where v2 is not null""",
+        ),
+        ("cnt", f"select {keys}, y as class, count(*) as n from lev group by {keys}, y"),
+        ("tot_path", "select attr, lvl, v1, v2, class, sum(n) as t from cnt group by attr, lvl, v1, v2, class"),
+        ("deep", "select * from lev qualify lvl = max(lvl) over (partition by row_id, attr)"),
+        (
+            "evid",
+            """select d.row_id, yc.class, sum(ln(greatest((coalesce(c.n, 0) + 1e0 / d.num_values) / (coalesce(t.t, 0) + 1e0), 1e-75))) as score
+               from deep d cross join yc
+               left join cnt c on c.attr = d.attr and c.lvl = d.lvl and c.val = d.val and c.v1 = d.v1 and c.v2 = d.v2 and c.class = yc.class
+               left join tot_path t on t.attr = d.attr and t.lvl = d.lvl and t.v1 = d.v1 and t.v2 = d.v2 and t.class = yc.class
+               group by d.row_id, yc.class""",
+        ),
+        (
+            "scores",
+            """select e.row_id, e.class,
+                      e.score + ln((yc.n + 1e0 / (select count(*) from yc)) / ((select sum(n) from yc) + 1e0)) as log_score
+               from evid e join yc on yc.class = e.class""",
+        ),
+        (
+            "probs",
+            """select row_id, class, exp(log_score - peak) / sum(exp(log_score - peak)) over (partition by row_id) as prob
+               from (select *, max(log_score) over (partition by row_id) as peak from scores) t""",
+        ),
+    ]

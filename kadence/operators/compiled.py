@@ -69,14 +69,14 @@ def compile_model(model: DataFrame, structure: DataFrame, path: str | None = Non
     rows = model.filter(F.col("attr_name").isNotNull()).withColumn("log_prob", log_m_estimate(n, total, values))
     support = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b)
     cells = _class_vectors(rows, [*cell_columns(k), "num_values"], ["n", "parents_count", "log_prob"])
-    cells = stage(cells.withColumn("support", support), "cells", f"{path}/cells" if path else None, SLICE)
+    cells = stage(cells.withColumn("support", support), "cells", f"{path}/cells" if path else None, SLICE, rebalance=True)
     zero = F.transform("parents_count", lambda t: log_m_estimate(F.lit(0), t, F.col("num_values")))
     paths = (
         cells.groupBy(*path_columns(k), "num_values")
         .agg(F.any_value("parents_count").alias("parents_count"))
         .select(*path_columns(k), zero.alias("zero_log_prob"))
     )
-    paths = stage(paths, "paths", f"{path}/paths" if path else None, SLICE)
+    paths = stage(paths, "paths", f"{path}/paths" if path else None, SLICE, rebalance=True)
     priors = sorted((r["class"], r["n"]) for r in model.filter(F.col("attr_name").isNull()).select("class", "n").collect())
     return CompiledModel(
         net=net,

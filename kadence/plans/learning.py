@@ -40,7 +40,12 @@ def stage_counts(
         pairs = fused.filter(F.col("pair") == 1).drop("pair")
     else:
         xy, pairs = stage(C.attr_class_counts(ts, pregroup), "counts", _at(path, "counts")), None
-    return xy, pairs, C.class_counts_of(xy, ts.attr_nums[0])
+    return xy, pairs, _stage_classes(xy, ts.attr_nums[0], path)
+
+
+def _stage_classes(xy: DataFrame, attr_num: int, path: str | None) -> DataFrame:
+    """n(class), one row per class, kept apart because every measure reads it."""
+    return stage(C.class_counts_of(xy, attr_num).coalesce(1), "classes", _at(path, "classes"))
 
 
 def learn_structure(
@@ -140,7 +145,7 @@ def stage_star_counts(
         fact_pairs = fused.filter(F.col("pair") == 1).drop("pair")
     else:
         fact_xy, fact_pairs = stage(C.attr_class_counts(fact), "fact", _at(path, "fact")), None
-    y = C.class_counts_of(fact_xy, fact.attr_nums[0])
+    y = _stage_classes(fact_xy, fact.attr_nums[0], path)
     if fact.complete:
         # Only columns moved in from a dimension can be null here.
         fact_xy = fact_xy.filter(F.col("attr_value").isNotNull())

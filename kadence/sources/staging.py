@@ -39,16 +39,17 @@ def stage(
     name: str,
     path: str | None = None,
     partition_by: Sequence[str] = (),
+    rebalance: bool = False,
 ) -> DataFrame:
     """Write ``df`` once and return it read back.
 
     A given ``path`` is overwritten, which is the reset before a new run;
-    without one the table goes to a fresh folder. Partitioned tables are
-    rebalanced first: few files per folder, and large folders still split.
+    without one the table goes to a fresh folder. ``rebalance`` suits tables of
+    many folders: each gets few files, and a large one is still split.
     """
     spark = df.sparkSession
     path = path or new_stage_path(spark, name)
-    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows = df.hint("rebalance", *partition_by) if rebalance else df
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     partitions = {c: df.schema[c] for c in partition_by}
     fields = [f for f in df.schema if f.name not in partitions] + list(partitions.values())
