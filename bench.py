@@ -3,7 +3,7 @@
 Learning runs over lineitem, scoring over orders. Every figure is a complete
 run from the parquet files, apart from the scoring figures, which start from a
 compiled model. Results go to Spark's ``noop`` sink or the staged tables. Each
-run is timed three times and the fastest counts, so that JVM warm-up does not.
+run is timed twice and the faster time counts, so that JVM warm-up does not.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def main() -> None:
     times: dict[str, float] = {}
 
     def timed(name: str, run):
-        for _ in range(3):
+        for _ in range(2):
             start = time.perf_counter()
             result = run()
             times[name] = min(times.get(name, float("inf")), round(time.perf_counter() - start, 3))

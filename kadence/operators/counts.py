@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from kadence.sources.training import TrainingSet
 
+# Equal rows are merged before pairs are formed when fewer than this share of the
+# rows are distinct; above it the extra shuffle costs more than it saves.
+REPEATING_ROWS = 0.1
+
 XY_KEYS = ["attr_num", "attr_value", "class"]
 PAIR_KEYS = ["attr_num1", "attr_value1", "attr_num2", "attr_value2", "class"]
 
@@ -46,7 +50,7 @@ def weighted_rows(ts: TrainingSet, pregroup: bool | str = False) -> DataFrame:
     """
     cols = [F.col(f"`{c}`") for c in (ts.label, *ts.attrs)]
     if pregroup == "auto":
-        pregroup = repeat_ratio(ts) < 0.5
+        pregroup = repeat_ratio(ts) < REPEATING_ROWS
     if pregroup:
         return ts.df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     return ts.df.select(*cols, F.lit(1).cast("bigint").alias("n"))

@@ -39,7 +39,9 @@ def stage_counts(
         xy = C.xy_of(fused.filter(F.col("pair") == 0))
         pairs = fused.filter(F.col("pair") == 1).drop("pair")
     else:
-        xy, pairs = stage(C.attr_class_counts(ts, pregroup), "counts", _at(path, "counts")), None
+        # One line per attribute is too little to merge rows for, unless asked.
+        xy = stage(C.attr_class_counts(ts, pregroup is True), "counts", _at(path, "counts"))
+        pairs = None
     return xy, pairs, _stage_classes(xy, ts.attr_nums[0], path)
 
 
