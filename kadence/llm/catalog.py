@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadence.llm import byte_bpe, host_rules, packing
+from kadence.llm import bottom_k, byte_bpe, chat_windows, host_rules, packing, positive_unlabelled, prefix_hashes, warc_fixity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = positive_unlabelled.learn_toxicity(documents, table(spark, sf_dir, "labels"))
+    scored = positive_unlabelled.score(documents, "doc_id", "text", model)
+    return scored.select(
+        "doc_id",
+        positive_unlabelled.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op2_prefix_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hashes.fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_WARC_SQL = """
+with records as (
+  select page_id, page_id // 1000 as segment,
+         strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10))
+           + strlen(coalesce(html, '')) + 4 as length,
+         html
+  from pages),
+placed as (
+  select *, sum(length) over (partition by segment order by page_id) - length as start_
+  from records)
+select page_id, segment, start_::bigint as "offset", length, 'corrupt' as status
+from placed where page_id % 97 = 5 and length(html) > 0
+"""
+
+
+@query("op3_warc_fixity", _WARC_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica in which one byte of every page of one residue class has flipped, audited against the original."""
+    pages = table(spark, sf_dir, "pages")
+    flipped = F.concat(F.lit("?"), F.substring("html", 2, 2_147_483_647))
+    damaged = pages.withColumn("html", F.when((F.col("page_id") % 97 == 5) & (F.length("html") > 0), flipped).otherwise(F.col("html")))
+    replicas = [warc_fixity.archive(p, "page_id", "url", "html") for p in (pages, damaged)]
+    found = warc_fixity.compare(*replicas)
+    return found.select(F.col("record_id").alias("page_id"), "segment", "offset", "length", "status")
+
+
+@query("op4_chat_windows")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    windows = chat_windows.format_windows(
+        conversations.unionByName(extra), "conv_id", "turn", "role", "text", RANKS, public_tokenizers.PATTERN
+    )
+    return chat_windows.read_back(windows, "conv_id")
+
+
 def _rate(rule: str) -> str:
     """DuckDB: the shrunk failure rate of a rule, from hosts, totals and spreads."""
     chance = f"({rule}_mean * (1 - {rule}_mean))"
@@ -97,6 +155,35 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NEAR_SQL = r"""
+with recursive texts as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[ \t\n\x0B\f\r]'), lambda w: w <> '') as words
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from texts where len(words) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n
+  having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach(doc_id, other) as (
+  select doc_id, doc_id from texts union select reach.doc_id, links.b from reach join links on reach.other = links.a),
+components as (select doc_id, min(other) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from components left join sizes using (doc_id)
+"""
+
+
+@query("op6_bottom_k", _NEAR_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
