@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadence.llm import bottom_k, byte_bpe, chat_windows, host_rules, packing, positive_unlabelled, prefix_hashes, warc_fixity
+from kadence.llm import bottom_k, byte_bpe, chat_windows, host_rules, packing, pii_bootstrap, positive_unlabelled, prefix_hashes, warc_fixity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -190,6 +190,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op9_pii_bootstrap")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.digest(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
