@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
+from kadence.llm.batches import slices
 from kadence.llm.shipping import ship
 
 #: Texts over this many characters are cut before they are encoded.
@@ -70,7 +71,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             lists = [np.asarray(encode_text(encoding, t), np.int32) for t in batch.column(batch.num_columns - 1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
@@ -89,8 +90,9 @@ def decode(df: DataFrame, ids_col: str, ranks_path: str, pattern: str, bytes_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_path, pattern)
-        for batch in batches:
-            decoded = [None if x is None else encoding.decode_bytes(x) for x in batch.column(at).to_pylist()]
+        for batch in slices(batches):
+            # One row's ids at a time: as Python numbers they take ten times their space.
+            decoded = [encoding.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, bytes_col])
 
     return df.mapInArrow(run, schema)
