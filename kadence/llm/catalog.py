@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadence.llm import bottom_k, byte_bpe, chat_windows, host_rules, packing, pii_bootstrap, positive_unlabelled, prefix_hashes, warc_fixity
+from kadence.llm import bottom_k, byte_bpe, chat_windows, dom_boost, host_rules, packing, pii_bootstrap, positive_unlabelled, prefix_hashes, warc_fixity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -184,6 +184,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("op7_dom_boost")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = dom_boost.extract(pages, "html", dom_boost.train(pages, "html"), keep=("page_id", "url"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
