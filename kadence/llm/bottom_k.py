@@ -218,3 +218,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "component_id",
         F.coalesce(F.col("id_") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_representatives(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` per group of near-duplicates, with all its columns, and every row without an id.
+
+    Of rows that repeat an id within a group, one stays.
+    """
+    found = stage(near_duplicates(df, id_col, text_col), "near_duplicates")
+    kept = found.filter(F.col("kept") & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("kept_id_"))
+    repeated = not found.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").isEmpty()
+    rows = df.filter(F.col(f"`{id_col}`").isNotNull())
+    rows = rows.join(kept.distinct() if repeated else kept, F.col(f"`{id_col}`") == F.col("kept_id_"), "left_semi")
+    if repeated:
+        rows = rows.dropDuplicates([id_col])
+    return rows.unionByName(df.filter(F.col(f"`{id_col}`").isNull()))

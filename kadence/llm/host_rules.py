@@ -60,8 +60,8 @@ def _repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0).cast("long"))
 
 
-def document_measures(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Per row: id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+def document_measures(df: DataFrame, id_col: str, text_col: str, host_col: str, *carried: Column) -> DataFrame:
+    """Per row: id, host, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, and what is carried.
 
     Windows of three words are compared by a 64-bit hash. A null text has no words.
     """
@@ -71,7 +71,9 @@ def document_measures(df: DataFrame, id_col: str, text_col: str, host_col: str)
         F.col(f"`{host_col}`").alias("host_"),
         text.alias("text_"),
         F.array_remove(F.split(text, _SPACE, -1), "").alias("words_"),
+        *carried,
     )
+    carried_names = rows.columns[4:]
     lines = F.filter(F.split("text_", "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     after = F.slice("words_", 1, F.greatest(F.size("words_") - 2, F.lit(0)))
     windows = F.transform(after, lambda x, i: F.xxhash64(x, F.get("words_", i + 1), F.get("words_", i + 2)))
@@ -83,6 +85,7 @@ def document_measures(df: DataFrame, id_col: str, text_col: str, host_col: str)
         F.regexp_count("text_", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("lines_"),
         windows.alias("windows_"),
+        *carried_names,
     ).select(
         "id_",
         "host_",
@@ -92,6 +95,7 @@ def document_measures(df: DataFrame, id_col: str, text_col: str, host_col: str)
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
         F.size("lines_").cast("long").alias("n_lines"),
         _repeated_words(F.col("windows_")).alias("n_repeat_words"),
+        *carried_names,
     )
 
 
@@ -172,3 +176,21 @@ def apply_rules(
         F.coalesce("host_failed", F.lit(False)).alias("host_failed"),
         (~base & ~F.coalesce("host_failed", F.lit(False))).alias("kept"),
     )
+
+
+def keep_documents(
+    df: DataFrame, id_col: str, text_col: str, host_col: str, max_rate: float = MAX_HOST_RATE
+) -> DataFrame:
+    """The rows of ``df`` that ``apply_rules`` keeps, with all their columns.
+
+    Rows are measured twice, once for the hosts and once for themselves, so that texts need not meet their
+    measures by a shuffle; only hosts that are rejected are joined.
+    """
+    measures = stage(document_measures(df, id_col, text_col, host_col), "measures")
+    rejected = stage(host_verdicts(measures, max_rate).filter("host_failed").select(F.col("host_").alias("rejected_")), "rejected")
+    failures = rule_failures()
+    own = document_measures(df, id_col, text_col, host_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
+    # The row number keeps the filter above the measures; pushed below, it would measure anew for every rule.
+    own = own.withColumn("measured_", F.monotonically_increasing_id())
+    own = own.filter((F.col("measured_") >= 0) & ~(failures["short"] | failures["repetitive"]))
+    return own.join(rejected, F.col("host_") == F.col("rejected_"), "left_anti").select("row_.*")

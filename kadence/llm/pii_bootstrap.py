@@ -12,7 +12,6 @@ occur far more often than identifiers follow them.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -244,13 +243,8 @@ def confident_patterns(contexts: DataFrame, totals: DataFrame) -> DataFrame:
     return trusted
 
 
-def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of ``df``: (row_, id, base, found), spans in order with ends exclusive, in code points.
-
-    ``base`` holds the four fixed kinds; ``found`` the spans of kind ``FOUND``, which meet no base span. A null or
-    empty text has none; repeated rows are scanned and counted as often as they occur; an empty table gives no
-    rows; other columns are not read.
-    """
+def learn(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scanned rows, their contexts (row_, pattern, instance, seed, start, end), and the trusted patterns."""
     scanned = stage(scan(df, id_col, text_col), "scanned")
     contexts = scanned.select("row_", F.explode("contexts").alias("c")).select("row_", "c.*")
     support = contexts.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).groupBy("pattern")
@@ -258,6 +252,17 @@ def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wanted = stage(wanted, "wanted")
     totals = stage(occurrences(df, text_col, wanted), "totals")
     trusted = confident_patterns(contexts.join(wanted, "pattern", "left_semi"), totals)
+    return scanned, contexts, stage(trusted, "trusted")
+
+
+def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``df``: (row_, id, base, found), spans in order with ends exclusive, in code points.
+
+    ``base`` holds the four fixed kinds; ``found`` the spans of kind ``FOUND``, which meet no base span. A null or
+    empty text has none; repeated rows are scanned and counted as often as they occur; an empty table gives no
+    rows; other columns are not read.
+    """
+    scanned, contexts, trusted = learn(df, id_col, text_col)
     found = contexts.filter(~F.col("seed")).join(trusted, "pattern").select("row_", "start", "end").distinct()
     spans = found.groupBy("row_").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found")
@@ -300,5 +305,45 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join((*out, text[at:]))
 
 
-def sha256_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+def spans_under(text: str, trusted: frozenset[str]) -> list[tuple[str, int, int]]:
+    """Base spans and those that trusted patterns lead to."""
+    base = base_spans(text)
+    if not trusted or not _DIGIT.search(text):
+        return base
+    led = identifier_like(text, base)
+    return base + [(FOUND, s, e) for s, e in led if not trusted.isdisjoint(patterns_before(text, s))]
+
+
+def redact(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the personal data in its texts replaced by their kinds; null texts stay null.
+
+    Trusted patterns go to the tasks while they are few (``HELD_PATTERNS``); otherwise spans are joined to the
+    texts by the texts' digest.
+    """
+    _, _, trusted = learn(df.select(F.lit(0).alias("no_id_"), text_col), "no_id_", text_col)
+    at = df.columns.index(text_col)
+    spark = df.sparkSession
+    if trusted.count() <= HELD_PATTERNS:
+        held = spark.sparkContext.broadcast(frozenset(r.pattern for r in trusted.select("pattern").collect()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                texts = [t if t is None else redact_text(t, spans_under(t, held.value)) for t in batch.column(at).to_pylist()]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+
+        return df.mapInArrow(run, df.schema)
+    keyed = df.withColumn("key_", F.sha2(F.col(f"`{text_col}`").cast("binary"), 256))
+    led = scan(keyed, "key_", text_col).select("id_", F.explode("contexts").alias("c")).select("id_", "c.*").filter("not seed")
+    spans = led.join(trusted, "pattern").groupBy("id_").agg(F.collect_set(F.struct("start", "end")).alias("found_"))
+    joined_rows = keyed.join(spans, F.col("key_") == F.col("id_"), "left").select(*[F.col(f"`{c}`") for c in df.columns], "found_")
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = []
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                led_to = [(FOUND, f["start"], f["end"]) for f in found or ()]
+                texts.append(text if text is None else redact_text(text, base_spans(text) + led_to))
+            kept = batch.select(batch.schema.names[:-1])
+            yield kept.set_column(at, kept.schema.field(at), pa.array(texts, pa.string()))
+
+    return joined_rows.mapInArrow(run_joined, df.schema)

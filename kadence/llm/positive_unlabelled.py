@@ -203,6 +203,20 @@ def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def drop_toxic(df: DataFrame, text_col: str, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose score is below ``limit``, with all their columns."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value.scorer()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([scorer(t or "") < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str, folds: int = 5):
     """Whether a row's labels are kept from training."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds == 0, F.lit(False))
