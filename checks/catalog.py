@@ -189,9 +189,14 @@ ORDER_STRUCTURE_SQL = (
 @query(
     "s5_save_load_structure",
     O.with_ctes(
-        [*O.base(X.ORDERS), ("st", ORDER_STRUCTURE_SQL)],
-        """select st.*, p.attr_num as parent_num, coalesce(max(st.cmi_rank) over (partition by st.attr_num), 0) as num_parents
-           from st left join (select distinct attr_name, attr_num from st) p on p.attr_name = st.parent""",
+        [
+            *O.base(X.ORDERS),
+            ("st", ORDER_STRUCTURE_SQL),
+            ("widths", "select attr_num as a, count(cmi_rank)::int as num_parents from st group by attr_num"),
+            ("numbers", "select attr_name as named, any_value(attr_num) as parent_num from st group by attr_name"),
+        ],
+        """select st.*, numbers.parent_num, widths.num_parents
+           from widths join st on st.attr_num = widths.a left join numbers on numbers.named = st.parent""",
     ),
 )
 def s5(spark, sf):

@@ -233,9 +233,8 @@ def score_ctes(*args, include_prior: bool = True, **kwargs) -> list[tuple[str, s
         (
             "probs",
             """
-  select row_id, class,
-         exp(log_score - (ln(greatest(sum(exp(log_score - peak)) over (partition by row_id), 1e-75)) + peak)) as prob
-  from (select *, max(log_score) over (partition by row_id) as peak from scores) t""",
+  select row_id, class, weight / sum(weight) over (partition by row_id) as prob
+  from (select row_id, class, exp(log_score - max(log_score) over (partition by row_id)) as weight from scores) t""",
         ),
     ]
 

@@ -1,7 +1,8 @@
 """k-dependence Bayesian network classifiers learned and applied as Spark jobs."""
 
-from kadence.operators.compiled import CompiledModel, compile_model
+from kadence.operators.compiled import CompiledModel, compile_model, load_compiled
 from kadence.operators.evaluate import model_size, prune_model, prune_structure
+from kadence.operators.params import conditional_counts, model_table
 from kadence.operators.star import Dim, encode_star, star_join
 from kadence.plans.learning import (
     learn_parameters,
@@ -10,6 +11,7 @@ from kadence.plans.learning import (
     learn_structure_star,
 )
 from kadence.plans.scoring import loocv, predict_classes, predict_proba, predict_sample
+from kadence.sources.staging import staging_run
 from kadence.sources.tables import (
     load_model,
     load_structure,
@@ -26,6 +28,7 @@ __all__ = [
     "Dim",
     "add_rows",
     "compile_model",
+    "conditional_counts",
     "count_stream",
     "encode_categories",
     "encode_star",
@@ -33,12 +36,14 @@ __all__ = [
     "learn_parameters_star",
     "learn_structure",
     "learn_structure_star",
+    "load_compiled",
     "load_model",
     "load_structure",
     "logged_counts",
     "loocv",
     "model_size",
     "model_summary",
+    "model_table",
     "predict_classes",
     "predict_proba",
     "predict_sample",
@@ -48,6 +53,7 @@ __all__ = [
     "remove_rows",
     "save_model",
     "save_structure",
+    "staging_run",
     "star_join",
     "write_predictions",
 ]

@@ -28,6 +28,6 @@ def _greatest(cols: Sequence[Column]) -> Column:
 def normalise_logs(scores: Sequence[Column]) -> list[Column]:
     """Per-row softmax over one score column per class, shifted by the maximum."""
     peak = _greatest(scores)
-    mass = reduce(lambda a, b: a + b, [F.exp(s - peak) for s in scores])
-    log_sum = F.log(F.greatest(mass, F.lit(PROB_FLOOR))) + peak
-    return [F.exp(s - log_sum) for s in scores]
+    weights = [F.exp(s - peak) for s in scores]
+    mass = reduce(lambda a, b: a + b, weights)
+    return [w / mass for w in weights]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadence.functions.probability import log_m_estimate
@@ -50,10 +50,12 @@ class CompiledModel:
         return rows * self.row_bytes(vectors) <= limit
 
 
-def _class_vectors(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Collect the (at most one per class) rows of each key in class order."""
+def _class_vectors(df: DataFrame, keys: list[str], columns: list[str], classes: list[str]) -> DataFrame:
+    """The rows of each key as vectors in the order of ``classes``; a key without a row for each is an error."""
     entries = F.array_sort(F.collect_list(F.struct("class", *columns)))
-    vectors = [F.col(f"entries.{c}").alias(c) for c in columns]
+    whole = F.col("entries.class") == F.array(*[F.lit(c) for c in classes]).cast("array<string>")
+    message = F.lit("a model cell has no row for some class; fill the model before compiling it")
+    vectors = [F.when(whole, F.col(f"entries.{c}")).otherwise(F.raise_error(message)).alias(c) for c in columns]
     return df.groupBy(*keys).agg(entries.alias("entries")).select(*keys, *vectors)
 
 
@@ -67,8 +69,9 @@ def compile_model(model: DataFrame, structure: DataFrame, path: str | None = Non
     k = net.k
     n, total, values = F.col("n"), F.col("parents_count"), F.col("num_values")
     rows = model.filter(F.col("attr_name").isNotNull()).withColumn("log_prob", log_m_estimate(n, total, values))
+    priors = sorted((r["class"], r["n"]) for r in model.filter(F.col("attr_name").isNull()).select("class", "n").collect())
     support = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    cells = _class_vectors(rows, [*cell_columns(k), "num_values"], ["n", "parents_count", "log_prob"])
+    cells = _class_vectors(rows, [*cell_columns(k), "num_values"], ["n", "parents_count", "log_prob"], [c for c, _ in priors])
     cells = stage(cells.withColumn("support", support), "cells", f"{path}/cells" if path else None, SLICE, rebalance=True)
     zero = F.transform("parents_count", lambda t: log_m_estimate(F.lit(0), t, F.col("num_values")))
     paths = (
@@ -77,7 +80,22 @@ def compile_model(model: DataFrame, structure: DataFrame, path: str | None = Non
         .select(*path_columns(k), zero.alias("zero_log_prob"))
     )
     paths = stage(paths, "paths", f"{path}/paths" if path else None, SLICE, rebalance=True)
-    priors = sorted((r["class"], r["n"]) for r in model.filter(F.col("attr_name").isNull()).select("class", "n").collect())
+    if path:
+        stage(structure.coalesce(1), "structure", f"{path}/structure")
+        counts = model.filter(F.col("attr_name").isNull()).select("class", "n")
+        stage(counts.coalesce(1), "classes", f"{path}/classes")
+    return _compiled(net, cells, paths, priors)
+
+
+def load_compiled(spark: SparkSession, path: str) -> CompiledModel:
+    """A model that ``compile_model`` wrote to ``path``, without compiling it again."""
+    net = Network.from_structure(spark.read.parquet(f"{path}/structure"))
+    cells, paths = (spark.read.parquet(f"{path}/{t}") for t in ("cells", "paths"))
+    priors = sorted((r["class"], r["n"]) for r in spark.read.parquet(f"{path}/classes").collect())
+    return _compiled(net, cells, paths, priors)
+
+
+def _compiled(net: Network, cells: DataFrame, paths: DataFrame, priors: list[tuple[str, int]]) -> CompiledModel:
     return CompiledModel(
         net=net,
         cells=cells,

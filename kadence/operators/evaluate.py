@@ -9,7 +9,7 @@ from kadence.conventions import parent_columns
 from kadence.functions.probability import m_estimate
 from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel
 from kadence.operators.params import num_values_of, path_columns
-from kadence.operators.predict import ROW_ID, match_with_backoff, rows_to_evidence
+from kadence.operators.predict import ROW_ID, ROW_KEY, match_with_backoff, rows_to_evidence
 
 
 def _own(label: str, cls: str) -> Column:
@@ -45,12 +45,16 @@ def loocv_scores(
     For each attribute, k uses the deepest level up to k whose chain from level
     0 is unbroken: every level holds the value at least twice, since the row
     itself is left out. ``joint`` divides by the class total in place of the
-    parent-path total. ``rows`` are ``scoring_rows`` that carry the label.
+    parent-path total. ``rows`` are ``scoring_rows`` that carry the label; their ids
+    may repeat. An attribute whose value the model does not know gives no term; a
+    known value that was never counted with the row's class is an error.
     """
     net, k = model.net, model.k
-    rows = rows.filter(F.col(label).isNotNull())
-    lines = match_with_backoff(rows_to_evidence(rows, net, [label], drop_null=False), model, ["n", "parents_count", "support"], limit)
+    rows = rows.filter(F.col(label).isNotNull()).withColumn(ROW_KEY, F.monotonically_increasing_id())
+    evidence = rows_to_evidence(rows, net, [ROW_KEY, label], drop_null=False)
+    lines = match_with_backoff(evidence, model, ["n", "parents_count", "support"], limit)
     lines = lines.select(
+        ROW_KEY,
         ROW_ID,
         label,
         num_values_of(net, F.col("attr_num")).alias("values"),
@@ -73,8 +77,10 @@ def loocv_scores(
             own = _own(label, cls)
             total = F.lit(model.class_counts[c]) if joint else F.col(f"use_t_{i}")[c]
             estimate = m_estimate(F.col(f"use_n_{i}")[c] - own, total - own, F.col("values"))
-            sums.append(F.sum(F.coalesce(F.log(estimate), F.lit(0.0))).alias(f"s_{i}_{c}"))
-    totals = lines.groupBy(ROW_ID, label).agg(*sums)
+            never = F.raise_error(F.lit("a left-out row was never counted by this model")).cast("double")
+            term = F.when(F.col(f"use_n_{i}").isNull(), F.lit(0.0)).when(estimate > 0, F.log(estimate)).otherwise(never)
+            sums.append(F.sum(term).alias(f"s_{i}_{c}"))
+    totals = lines.groupBy(ROW_KEY).agg(*[F.any_value(F.col(c)).alias(c) for c in (ROW_ID, label)], *sums)
     entries = []
     for i in range(k + 1):
         for c, cls in enumerate(model.classes):

@@ -18,9 +18,12 @@ from kadence.operators.counts import name_of, weighted_rows
 from kadence.operators.network import Network, Node
 from kadence.sources.training import TrainingSet
 
-# Copies of each domain in the dense fill, so that one attribute's parent paths
-# spread over several tasks.
-DOMAIN_COPIES = 16
+# Parent paths that share a copy of their attribute's domain in the dense fill; an
+# attribute with more paths spreads over as many tasks more.
+PATHS_PER_COPY = 50_000
+
+# Columns that a grouping id has room for.
+GROUPING_COLUMNS = 64
 
 
 def path_columns(k: int) -> list[str]:
@@ -107,51 +110,75 @@ def conditional_counts(ts: TrainingSet, net: Network, pregroup: bool | str = Fal
     return _roll_up(deepest, k) if k else deepest
 
 
+def _blocks(net: Network, width: int) -> list[list[Node]]:
+    """The attributes in runs whose columns, parents included, number ``width`` at most."""
+    blocks: list[list[Node]] = []
+    columns: set[str] = set()
+    for node in net.nodes:
+        more = columns | {node.name, *node.parents}
+        if not blocks or len(more) > width:
+            blocks.append([])
+            more = {node.name, *node.parents}
+        blocks[-1].append(node)
+        columns = more
+    return blocks or [[]]
+
+
 def conditional_counts_grouping_sets(ts: TrainingSet, net: Network) -> DataFrame:
-    """The same counts by GROUPING SETS over merged rows, one set per attribute and level.
+    """The same counts by GROUPING SETS, one set per attribute with all its parents.
 
-    Suits narrow tables: a grouping id has room for 64 columns. Needs complete
-    rows, where a null in the result can only mean "not in this set".
+    Shorter prefixes are summed from those cells. A grouping id has room for 64
+    columns, so a wider table is counted in blocks of attributes, a scan each.
+    Needs complete rows, where a null in the result can only mean "not in this set".
     """
     if not ts.complete:
         raise ValueError("grouping sets need the 'category' null policy")
-    used = [ts.label, *ts.attrs]
-    if len(used) > 64:
-        raise ValueError("too many columns for one grouping id; use conditional_counts")
     k = net.k
-    sets, cells = [[ts.label]], [(PRIOR_NUM, 0, None, ())]
-    for node in net.nodes:
-        for level in range(len(node.parents) + 1):
-            sets.append([ts.label, node.name, *node.parents[:level]])
-            cells.append((node.attr_num, level, node.name, node.parents[:level]))
-    bits = {c: 1 << (len(used) - 1 - i) for i, c in enumerate(used)}
-    ids = [sum(b for c, b in bits.items() if c not in s) for s in sets]
+    if k + 2 > GROUPING_COLUMNS:
+        raise ValueError("an attribute with its parents is wider than a grouping id")
+    parts = [_grouped(ts, nodes, k, i == 0) for i, nodes in enumerate(_blocks(net, GROUPING_COLUMNS - 1))]
+    deepest = parts[0]
+    for part in parts[1:]:
+        deepest = deepest.unionByName(part)
+    return _roll_up(deepest, k) if k else deepest
 
-    def pick(values: Sequence[Column | None], kind: str) -> Column:
-        """The value that belongs to the grouping set of the row."""
-        chosen = F.lit(None).cast(kind)
-        for gid, value in zip(ids, values):
-            if value is not None:
-                chosen = F.when(F.col("gid") == gid, value).otherwise(chosen)
-        return chosen
 
+def _grouped(ts: TrainingSet, nodes: Sequence[Node], k: int, with_prior: bool) -> DataFrame:
+    """Deepest cells of some attributes, and n(class) if asked, from one pass with grouping sets."""
+    used = list(dict.fromkeys([ts.label, *[c for n in nodes for c in (n.name, *n.parents)]]))
+    cells = [(PRIOR_NUM, None, ())] if with_prior else []
+    cells += [(n.attr_num, n.name, tuple(n.parents)) for n in nodes]
+    sets = [[ts.label, *([name] if name else []), *its] for _, name, its in cells]
+    bits = {c: 1 << (len(used) - 1 - i) for i, c in enumerate(used)}
+    ids = [sum(b for c, b in bits.items() if c not in s) for s in sets]
+    # Two attributes can have one set of columns, each the other's parent; the sets are then told apart by place.
     col = lambda name: F.col(f"`{name}`")
-    parents = [
-        pick([col(c[3][i]) if len(c[3]) > i else None for c in cells], "string").alias(p)
-        for i, p in enumerate(parent_columns(k))
-    ]
+    own = {}
+    for gid, cell in zip(ids, cells):
+        own.setdefault(gid, []).append(cell)
+
+    def struct(cell) -> Column:
+        num, name, its = cell
+        null = F.lit(None).cast("string")
+        values = [col(its[i]) if i < len(its) else null for i in range(k)]
+        return F.struct(
+            F.lit(num).alias("attr_num"),
+            F.lit(len(its)).alias("level"),
+            (col(name) if name else null).alias("attr_value"),
+            *[v.alias(p) for v, p in zip(values, parent_columns(k))],
+        )
+
+    chosen = None
+    for gid, same in own.items():
+        found = F.array(*[struct(c) for c in same])
+        chosen = F.when(F.col("gid") == gid, found) if chosen is None else chosen.when(F.col("gid") == gid, found)
+    distinct = list({gid: [col(c) for c in s] for gid, s in zip(ids, sets)}.values())
     return (
-        weighted_rows(ts, pregroup=True)
-        .groupingSets([[col(c) for c in s] for s in sets], *[col(c) for c in used])
+        weighted_rows(ts)
+        .groupingSets(distinct, *[col(c) for c in used])
         .agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
-        .select(
-            pick([F.lit(c[0]) for c in cells], "int").alias("attr_num"),
-            pick([F.lit(c[1]) for c in cells], "int").alias("level"),
-            pick([col(c[2]) if c[2] else None for c in cells], "string").alias("attr_value"),
-            *parents,
-            col(ts.label).alias("class"),
-            "n",
-        )
+        .select(col(ts.label).alias("class"), "n", F.explode(chosen).alias("e"))
+        .select("e.*", "class", "n")
     )
 
 
@@ -216,11 +243,19 @@ def _join_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 def with_parents_count(cells: DataFrame, counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
     """Attach the class vector of parent-path totals to class-vector cells.
 
-    Totals come from an aggregate joined back rather than a window, so a wide
-    attribute's level-0 group never has to fit one task.
+    Totals come from an aggregate joined back rather than a window. Level 0 has
+    one total per attribute, under which all its values would meet; these few
+    rows are broadcast, as many as the table has columns. Deeper totals are
+    joined by their path.
     """
     keys = path_columns(k)
-    return _join_on_key(cells, class_vectors(path_counts(counts, k), keys, class_list(y), "parents_count"), keys)
+    totals = class_vectors(path_counts(counts, k), keys, class_list(y), "parents_count")
+    flat = totals.filter(F.col("level") == 0).select("attr_num", "parents_count")
+    top = cells.filter(F.col("level") == 0).join(F.broadcast(flat), "attr_num").select(*cells.columns, "parents_count")
+    if not k:
+        return top
+    deeper = _join_on_key(cells.filter(F.col("level") > 0), totals.filter(F.col("level") > 0), keys)
+    return top.unionByName(deeper.select(*cells.columns, "parents_count"))
 
 
 def sparse_cells(counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
@@ -232,17 +267,22 @@ def sparse_cells(counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
 def dense_cells(counts: DataFrame, y: DataFrame, k: int, domains: DataFrame | None = None) -> DataFrame:
     """Every domain value under every observed parent path, with class vectors.
 
-    Paths meet their attribute's domain on (attribute, copy); a copy number
-    derived from the path keeps one attribute from landing in one task.
+    Paths meet their attribute's domain on (attribute, copy). An attribute has a
+    copy per ``PATHS_PER_COPY`` of its paths, as counted, so one of many paths
+    does not land in few tasks.
     """
     classes = class_list(y)
     if domains is None:
         level0 = attribute_cells(counts).filter(F.col("level") == 0)
         domains = level0.select("attr_num", "attr_value").distinct()
     paths = class_vectors(path_counts(counts, k), path_columns(k), classes, "parents_count")
-    copy = F.pmod(F.xxhash64(*[F.col(c) for c in path_columns(k)]), F.lit(DOMAIN_COPIES)).cast("int")
-    copies = domains.select("attr_num", "attr_value", F.explode(F.sequence(F.lit(0), F.lit(DOMAIN_COPIES - 1))).alias("copy"))
-    grid = paths.withColumn("copy", copy).join(copies, ["attr_num", "copy"]).drop("copy")
+    # A row per attribute, so safe to broadcast.
+    spread = F.broadcast(paths.groupBy("attr_num").agg(F.ceil(F.count(F.lit(1)) / PATHS_PER_COPY).cast("int").alias("copies")))
+    copy = F.pmod(F.xxhash64(*[F.col(c) for c in path_columns(k)]), F.col("copies")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    copies = domains.join(spread, "attr_num").select("attr_num", "attr_value", every.alias("copy"))
+    spreading = paths.join(spread, "attr_num").withColumn("copy", copy).drop("copies")
+    grid = spreading.join(copies, ["attr_num", "copy"]).drop("copy")
     seen = class_vectors(attribute_cells(counts), cell_columns(k), classes, "n")
     zeros = F.transform(F.col("parents_count"), lambda _: F.lit(0).cast("bigint"))
     return _join_on_key(grid, seen, cell_columns(k), "left").select(
@@ -287,8 +327,19 @@ def model_columns(k: int) -> list[str]:
     ]
 
 
-def model_table(counts: DataFrame, net: Network, fill: str = "sparse", domains: DataFrame | None = None) -> DataFrame:
-    """The model table: filled cells with their totals, and the prior rows."""
+def model_table(
+    counts: DataFrame,
+    net: Network,
+    fill: str = "sparse",
+    domains: DataFrame | None = None,
+    sizes_from_counts: bool = False,
+) -> DataFrame:
+    """The model table: filled cells with their totals, and the prior rows.
+
+    Domain sizes are the structure's. With ``sizes_from_counts`` they are the
+    values that the counts hold, which suits counts that rows were added to or
+    removed from since the structure was learned.
+    """
     if fill not in ("sparse", "dense"):
         raise ValueError(f"unknown fill {fill!r}")
     k = net.k
@@ -301,6 +352,10 @@ def model_table(counts: DataFrame, net: Network, fill: str = "sparse", domains:
             "num_values": num_values_of(net, F.col("attr_num")),
         }
     )
+    if sizes_from_counts:
+        level0 = attribute_cells(counts).filter((F.col("level") == 0) & (F.col("n") > 0))
+        sizes = level0.groupBy("attr_num").agg(F.countDistinct("attr_value").alias("counted"))
+        rows = rows.drop("num_values").join(F.broadcast(sizes), "attr_num").withColumnRenamed("counted", "num_values")
     return rows.select(*model_columns(k)).unionByName(class_prior_rows(y, k))
 
 

@@ -7,7 +7,8 @@ Two physical plans with the same result:
   is shuffled. Used when the model fits the broadcast limit and is not too wide.
 * ``evidence`` - rows unpivot to (row, attribute) evidence that is joined to
   each level of the model by key and summed per row. Low levels are few and
-  hot, and are broadcast when small; deep levels shuffle. Row ids must be unique.
+  hot, and are broadcast when small; deep levels shuffle. Rows are summed under a
+  number of their own, so ids may repeat.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ from kadence.sources.training import category
 
 ROW_ID = "row_id"
 
+# One number per input row, within a plan; the caller's ids may repeat.
+ROW_KEY = "row_key_"
+
+# Decimal places to which probabilities are compared.
+TIE_PLACES = 12
+
 # Most lookups the rowwise plan chains in one stage; wider networks unpivot.
 MAX_ROW_LOOKUPS = 60
 
@@ -156,7 +163,9 @@ def _deepest_vector(cells: Sequence[str], zeros: Sequence[str | None], backoff:
 
 def _scores_by_evidence(rows: DataFrame, model: CompiledModel, keep: Sequence[str], backoff: str, limit: int) -> DataFrame:
     k = model.k
-    lines = match_with_backoff(rows_to_evidence(rows, model.net, keep, drop_null=False), model, ["log_prob"], limit)
+    rows = rows.withColumn(ROW_KEY, F.monotonically_increasing_id())
+    carried = [ROW_KEY, *keep]
+    lines = match_with_backoff(rows_to_evidence(rows, model.net, carried, drop_null=False), model, ["log_prob"], limit)
     if backoff == "path":
         for level in range(1, k + 1):
             keys = {c: F.col(c) for c in ("attr_num", *parent_columns(level))}
@@ -164,12 +173,13 @@ def _scores_by_evidence(rows: DataFrame, model: CompiledModel, keep: Sequence[st
             lines = _look_up(lines, keys, _slice(model.paths, level), {"zero_log_prob": f"zero_{level}"}, small)
     levels = range(k + 1)
     best = _deepest_vector([f"log_prob_{i}" for i in levels], [f"zero_{i}" for i in levels], backoff)
-    lines = lines.select(ROW_ID, *keep, best.alias("best"))
-    return lines.groupBy(ROW_ID).agg(
-        *[F.any_value(F.col(c)).alias(c) for c in keep],
+    lines = lines.select(ROW_ID, *carried, best.alias("best"))
+    totals = lines.groupBy(ROW_KEY).agg(
+        *[F.any_value(F.col(c)).alias(c) for c in (ROW_ID, *keep)],
         *[F.sum(F.coalesce(F.col("best")[i], F.lit(0.0))).alias(f"score_{i}") for i in range(len(model.classes))],
         F.count("best").alias("matched"),
     )
+    return totals.drop(ROW_KEY)
 
 
 def _scores_by_row(rows: DataFrame, model: CompiledModel, keep: Sequence[str], backoff: str) -> DataFrame:
@@ -251,15 +261,17 @@ def by_class(wide: DataFrame, model: CompiledModel, prefix: str, name: str, keep
 def predict_class(probs: DataFrame, model: CompiledModel, keep: Sequence[str] = ()) -> DataFrame:
     """Most probable class, its probability and the class -> probability map.
 
-    On a tie the smallest class wins.
+    On a tie the smallest class wins. Probabilities that agree to ``TIE_PLACES``
+    places are a tie: sums of the same logs in another order differ in the last bit.
     """
     values = F.array(*[F.col(f"prob_{i}") for i in range(len(model.classes))])
-    best = F.array_max(values)
+    near = F.array(*[F.round(f"prob_{i}", TIE_PLACES) for i in range(len(model.classes))])
+    place = F.array_position(near, F.array_max(near)).cast("int")
     classes = F.array(*[F.lit(c) for c in model.classes])
     return probs.select(
         ROW_ID,
         *keep,
-        F.element_at(classes, F.array_position(values, best).cast("int")).alias("predicted_class"),
-        best.alias("predicted_prob"),
+        F.element_at(classes, place).alias("predicted_class"),
+        F.element_at(values, place).alias("predicted_prob"),
         F.map_from_arrays(classes, values).alias("class_probs"),
     )

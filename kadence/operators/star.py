@@ -119,6 +119,32 @@ def orphan_keys(star: StarSet, xy: DataFrame) -> DataFrame:
     return _union(parts)
 
 
+def lost_rows(star: StarSet, xy: DataFrame, y: DataFrame) -> DataFrame:
+    """Per dimension with attributes, the fact rows that found no row in it, from staged counts alone.
+
+    Every fact row counts once for each attribute of a dimension whose row it
+    finds, so what an attribute's counts lack to the number of rows was lost.
+    """
+    first = {d.attr_nums[0]: d for d in star.dims if d.attrs}
+    names = star.fact.df.sparkSession.createDataFrame(
+        [(n, d.name, d.fk) for n, d in first.items()], "attr_num int, table_name string, fk string"
+    )
+    found = xy.filter(F.col("attr_num").isin(list(first))).groupBy("attr_num").agg(F.sum("n").alias("found"))
+    total = y.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    lost = (total - F.coalesce("found", F.lit(0))).cast("bigint").alias("orphan_rows")
+    return names.join(found, "attr_num", "left").select("table_name", "fk", lost)
+
+
+def check_unique_keys(star: StarSet) -> None:
+    """Raise if a dimension has two rows of one key; plans would count them differently.
+
+    One aggregate per dimension, of which at most one row comes back.
+    """
+    for d in star.dims:
+        if not d.df.groupBy("__pk").count().filter("count > 1").isEmpty():
+            raise ValueError(f"dimension {d.name!r} has several rows of one {d.pk!r}")
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -23,7 +23,7 @@ def _at(path: str | None, name: str) -> str | None:
 
 
 def stage_counts(
-    ts: TrainingSet, with_pairs: bool = True, pregroup: bool | str = "auto", path: str | None = None
+    ts: TrainingSet, with_pairs: bool = True, pregroup: bool | str = False, path: str | None = None
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """One scan of the training rows into staged xy and pair counts, and n(class).
 
@@ -59,7 +59,7 @@ def learn_structure(
     null_token: str = NULL_TOKEN,
     empty_as_null: bool = False,
     exclude: Sequence[str] = (),
-    pregroup: bool | str = "auto",
+    pregroup: bool | str = False,
     stage_path: str | None = None,
 ) -> DataFrame:
     """The structure table of a k-dependence network over a flat table."""
@@ -134,6 +134,7 @@ def stage_star_counts(
     The fact table is scanned once for the counts; dimensions counted by key are
     joined to those counts, never to the fact rows.
     """
+    S.check_unique_keys(star)
     star, flat = plan_star(star, plan)
     fact = star.fact
     if with_pairs:
@@ -180,9 +181,11 @@ def learn_structure_star(
 ) -> DataFrame:
     """The structure table over a star; see ``plan_star`` for how it is counted.
 
-    ``check_keys`` raises if fact rows point at missing dimension rows. Without
-    it such rows still count for fact attributes, so the measures use the
-    general plan, which does not need the counts to be consistent.
+    Fact rows that point at missing dimension rows still count for fact
+    attributes. Whether there are any shows in the staged counts; if so, the
+    measures use the general plan, which does not need the counts to be
+    consistent. ``check_keys`` makes it an error. A dimension with several rows
+    of one key is an error in every plan.
     """
     star = S.encode_star(
         fact,
@@ -193,12 +196,16 @@ def learn_structure_star(
         null_token=null_token,
         empty_as_null=empty_as_null,
     )
-    if check_keys:
-        lost = S.orphan_keys(star, C.attr_class_counts(_keys_only(star))).filter("orphan_rows > 0").collect()
-        if lost:
-            raise ValueError("fact rows without a dimension row: " + ", ".join(f"{r.table_name} {r.orphan_rows}" for r in lost))
     xy, pairs, y = stage_star_counts(star, k > 0, plan, stage_path)
-    complete = check_keys and star.fact.complete
+    lost = []
+    if star.fact.complete:
+        # One row per dimension.
+        lost = S.lost_rows(star, xy, y).filter("orphan_rows > 0").collect()
+    elif check_keys:
+        lost = S.orphan_keys(star, C.attr_class_counts(_keys_only(star))).filter("orphan_rows > 0").collect()
+    if check_keys and lost:
+        raise ValueError("fact rows without a dimension row: " + ", ".join(f"{r.table_name} {r.orphan_rows}" for r in lost))
+    complete = star.fact.complete and not lost
     names = {n: a for n, a in star.names.items() if n not in star.dropped_keys}
     structure = structure_of(xy, pairs, y, k, names, star.fact.label, star.fact.label_num, complete)
     return stage(S.star_structure(structure, star).coalesce(1), "structure", _at(stage_path, "structure"))
@@ -245,5 +252,6 @@ def learn_parameters_star(
     """The model table over a star: the used columns joined once, then counted."""
     encoding = {k: options[k] for k in ("null_policy", "null_token", "empty_as_null") if k in options}
     star = S.encode_star(fact, label, dims, fact_name=fact_name, **encoding)
+    S.check_unique_keys(star)
     net = Network.from_structure(structure)
     return learn_parameters(S.star_join(star, net), structure, **options)

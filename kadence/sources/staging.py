@@ -7,21 +7,35 @@ re-read and the written size lets Spark choose its joins on real statistics.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_run: contextvars.ContextVar[str | None] = contextvars.ContextVar("staging_run", default=None)
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A private folder is made only where the session names none, as in tests.
+    It is the session's ``spark.checkpoint.dir``, else the folder given to
+    ``setCheckpointDir``. Without either a private folder is made where driver
+    and executors are one process; anywhere else that is an error, since
+    executors could not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or _private_root(spark.sparkContext.applicationId)).rstrip("/")
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _private_root(sc.applicationId)
+    return root.rstrip("/")
 
 
 @functools.cache
@@ -30,8 +44,26 @@ def _private_root(application: str) -> str:
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    """A path no other run uses."""
-    return f"{staging_root(spark)}/kadence/{uuid.uuid4().hex}/{name}"
+    """A path no other run uses, within the current ``staging_run`` if there is one."""
+    root = _run.get() or f"{staging_root(spark)}/kadence"
+    return f"{root}/{uuid.uuid4().hex}/{name}"
+
+
+@contextlib.contextmanager
+def staging_run(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go to one folder, which is removed at the end.
+
+    Results must be written or collected before it ends. Paths that the caller
+    names are not touched.
+    """
+    root = f"{staging_root(spark)}/kadence/run-{uuid.uuid4().hex}"
+    token = _run.set(root)
+    try:
+        yield root
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(

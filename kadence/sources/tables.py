@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadence.conventions import parent_columns
@@ -37,13 +37,11 @@ def load_structure(spark: SparkSession, source: str) -> DataFrame:
     """Read a structure in rank order, with each parent's number and the parent count."""
     table = _read(spark, source)
     extra = [c for c in table.columns if c not in STRUCTURE_COLUMNS]
-    nums = table.select(F.col("attr_name").alias("parent"), F.col("attr_num").alias("parent_num")).distinct()
-    per_attr = Window.partitionBy("attr_num")
-    return (
-        table.join(nums, "parent", "left")
-        .withColumn("num_parents", F.coalesce(F.max("cmi_rank").over(per_attr), F.lit(0)))
-        .select(*STRUCTURE_COLUMNS, *extra, "parent_num", "num_parents")
-        .orderBy(F.asc_nulls_first("mi_rank"), F.asc_nulls_first("cmi_rank"))
+    widths = table.groupBy("attr_num").agg(F.count("cmi_rank").cast("int").alias("num_parents"))
+    numbers = table.groupBy(F.col("attr_name").alias("parent")).agg(F.any_value("attr_num").alias("parent_num"))
+    ranked = table.join(widths, "attr_num").join(numbers, "parent", "left")
+    return ranked.select(*STRUCTURE_COLUMNS, *extra, "parent_num", "num_parents").orderBy(
+        F.asc_nulls_first("mi_rank"), F.asc_nulls_first("cmi_rank")
     )
 
 

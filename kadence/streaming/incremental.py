@@ -18,8 +18,13 @@ def _merge(counts: DataFrame, delta: DataFrame, sign: int) -> DataFrame:
     keys = [c for c in counts.columns if c != "n"]
     signed = delta.select(*keys, (F.col("n") * sign).alias("n"))
     merged = counts.select(*keys, "n").unionByName(signed).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return _counted(merged)
+
+
+def _counted(cells: DataFrame) -> DataFrame:
+    """Cells above zero; one below is an error."""
     below = F.raise_error(F.lit("a removed row was never counted")).cast("bigint")
-    return merged.filter(F.when(F.col("n") < 0, below).otherwise(F.col("n")) > 0)
+    return cells.filter(F.when(F.col("n") < 0, below).otherwise(F.col("n")) > 0)
 
 
 def add_rows(counts: DataFrame, delta: DataFrame) -> DataFrame:
@@ -59,10 +64,10 @@ def count_stream(
 
 
 def logged_counts(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
-    """Current counts: the sum of all logged deltas."""
+    """Current counts: the sum of all logged deltas; a cell below zero is an error."""
     keys = [f.name for f in schema if f.name != "n"]
     deltas = [spark.read.schema(schema).option("basePath", p).parquet(p).select(*keys, "n") for p in paths]
     union = deltas[0]
     for d in deltas[1:]:
         union = union.unionByName(d)
-    return union.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") != 0)
+    return _counted(union.groupBy(*keys).agg(F.sum("n").alias("n")))
