@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import sys
 import time
 
@@ -34,6 +35,8 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # One process, so a folder of its own serves as the shared one.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kadence-bench-"))
         .getOrCreate()
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -479,6 +480,24 @@ def a11_remove(spark, sf):
     return kd.remove_rows(event_counts(spark, sf, F.lit(True)), dear)
 
 
+@query("a11_update_to_model", model_sql())
+def a11_update(spark, sf):
+    """Learn the orders of the first half of each month, add the others, build the model from the counts.
+
+    The later days are values that only the added rows have.
+    """
+    net = Network.from_structure(order_structure(spark, sf))
+    early = F.col("o_day") <= 15
+    counts = [
+        staging.stage(
+            B.conditional_counts(training.encode_categories(X.order_rows(spark, sf).filter(part), X.ORDER_LABEL, keep=["o_orderkey"]), net),
+            "conditional",
+        )
+        for part in (early, ~early)
+    ]
+    return kd.model_table(kd.add_rows(*counts), net, sizes_from_counts=True)
+
+
 # --- measures ----------------------------------------------------------------
 
 
@@ -608,6 +627,40 @@ def t5_one(spark, sf):
     return kd.learn_structure_star(X.f3_fact(spark, sf), "o_orderpriority", X.f3_dims(spark, sf), K, fact_name="orders")
 
 
+ORPHAN_SQL = O.with_ctes(
+    O.structure_ctes(X.F6, K),
+    # A null there is a missing dimension row and no value of the domain.
+    """select case when attr_num <= 3 then 'documents' else 'labels' end as table_name,
+              * replace (case when attr_num in (5, 6) then num_values - 1 else num_values end as num_values)
+       from structure
+       union all
+       select * from (values ('labels', 4, 'labelled_id', null, null, null, null), ('documents', 2, 'doc_id', null, null, null, null)) k""",
+)
+
+
+@query("t5_star_structure_orphans", ORPHAN_SQL)
+def t5_orphans(spark, sf):
+    return kd.learn_structure_star(X.f6_fact(spark, sf), "lang", X.f6_dims(spark, sf), K, fact_name="documents")
+
+
+@query("t5_star_structure_orphans_factorised", ORPHAN_SQL)
+def t5_orphans_factorised(spark, sf):
+    return kd.learn_structure_star(
+        X.f6_fact(spark, sf), "lang", X.f6_dims(spark, sf), K, fact_name="documents", plan="factorised"
+    )
+
+
+@query(
+    "t5_orphan_report",
+    """select 'labels' as table_name, 'doc_id' as fk, count(*) as orphan_rows
+       from documents where doc_id not in (select doc_id from labels)""",
+)
+def t5_orphan_report(spark, sf):
+    star = S.encode_star(X.f6_fact(spark, sf), "lang", X.f6_dims(spark, sf), fact_name="documents")
+    xy, _, y = L.stage_star_counts(star, with_pairs=False)
+    return S.lost_rows(star, xy, y)
+
+
 @query(
     "t6_parents_wide",
     O.with_ctes(
@@ -824,6 +877,32 @@ def r6_without(spark, sf):
     return _scores(spark, sf, include_prior=False, plan="evidence")
 
 
+REPEATED_SQL = O.with_ctes(
+    O.score_ctes(X.ORDERS, X.ORDER_PARENTS, X.SHIFTED_SQL),
+    f"""select o_custkey as row_id, class, {sql_rounded('log_score')}
+        from scores join orders on o_orderkey = scores.row_id""",
+)
+
+
+def _scores_by_customer(spark, sf, plan: str) -> DataFrame:
+    """Scores under an id that many rows share; each row keeps its own result."""
+    model = order_compiled(spark, sf)
+    customers = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rows = P.scoring_rows(X.shifted_rows(spark, sf).join(customers, "o_orderkey"), model.net, "o_custkey")
+    scores = P.class_log_scores(rows, model, plan=plan)
+    return P.by_class(scores, model, "score", "log_score").select("row_id", "class", rounded("log_score"))
+
+
+@query("r6_repeated_ids_rowwise", REPEATED_SQL)
+def r6_repeated_rowwise(spark, sf):
+    return _scores_by_customer(spark, sf, "rowwise")
+
+
+@query("r6_repeated_ids_evidence", REPEATED_SQL)
+def r6_repeated_evidence(spark, sf):
+    return _scores_by_customer(spark, sf, "evidence")
+
+
 @query("r7_normalise_log_scores", O.with_ctes(O.score_ctes(X.ORDERS, X.ORDER_PARENTS, X.SHIFTED_SQL), PROB_BODY))
 def r7(spark, sf):
     return _proba(spark, sf)
@@ -855,6 +934,30 @@ def r8(spark, sf):
     return out.select("row_id", "predicted_class", rounded("predicted_prob"), F.array_join(entries, ";").alias("class_ppm"))
 
 
+@query(
+    "r8_exact_ties",
+    O.with_ctes(
+        O.score_ctes(
+            replace(
+                X.ORDERS,
+                base=f"select o_orderstatus, o_day, c_nationkey, c_mktsegment, t.y, row_id from ({X.ORDERS.base}) o, (values ('u'), ('v')) t(y)",
+            ),
+            X.ORDER_PARENTS,
+            X.SHIFTED_SQL,
+        ),
+        f"""select row_id, arg_min(class, (-round(prob, 12), class)) as predicted_class, {sql_rounded('max(prob)', 'predicted_prob')}
+            from probs group by row_id""",
+    ),
+)
+def r8_ties(spark, sf):
+    """Every order is learned once as u and once as v, so each row is an exact tie."""
+    twice = X.order_rows(spark, sf).withColumn(X.ORDER_LABEL, F.explode(F.array(F.lit("v"), F.lit("u"))))
+    structure = order_structure(spark, sf)
+    model = kd.learn_parameters(twice, structure)
+    out = kd.predict_classes(X.shifted_rows(spark, sf), model, structure, id_col="o_orderkey")
+    return out.select("row_id", "predicted_class", rounded("predicted_prob"))
+
+
 @query(
     "r9_predict_sample",
     O.with_ctes(

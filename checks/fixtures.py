@@ -190,6 +190,30 @@ SHIFTED_SQL = """
       from orders join customer on o_custkey = c_custkey"""
 
 
+# --- F6: a star whose dimension lacks many keys ------------------------------
+
+
+def f6_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.least(F.floor(F.col("n_chars") / 1000), F.lit(9)).cast("int")
+    return table(spark, sf_dir, "documents").select("source", size.alias("size"), "doc_id", "lang")
+
+
+def f6_dims(spark: SparkSession, sf_dir: str) -> list[Dim]:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "quality", "toxic")
+    return [Dim("labels", labels, "labelled_id", "doc_id")]
+
+
+F6 = Fixture(
+    """
+      select source, cast(least(n_chars // 1000, 9) as varchar) as size, cast(quality as varchar) as quality,
+             cast(toxic as varchar) as toxic, lang as y
+      from documents left join labels using (doc_id)""",
+    {"source": 0, "size": 1, "quality": 5, "toxic": 6},
+    "lang",
+    3,
+)
+
+
 # --- F5: event batches -------------------------------------------------------
 
 
