@@ -142,8 +142,9 @@ def _strength(rule: str) -> Column:
     """The prior's weight in documents."""
     p, s = F.col(f"{rule}_mean"), F.col(f"{rule}_spread")
     chance = p * (1 - p)
-    alike = (s - chance * (F.col("k") - 1)) / (chance * (F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1)))
-    alike = F.least(F.greatest(F.coalesce(F.when(F.isnan(alike), None).otherwise(alike), F.lit(0.0)), F.lit(1e-6)), F.lit(1 - 1e-6))
+    # Undefined for a single host, or a rule that fails always or never: there is no spread then.
+    alike = F.try_divide(s - chance * (F.col("k") - 1), chance * (F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1)))
+    alike = F.least(F.greatest(F.coalesce(alike, F.lit(0.0)), F.lit(1e-6)), F.lit(1 - 1e-6))
     return (1 - alike) / alike
 
 
