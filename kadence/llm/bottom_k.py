@@ -4,17 +4,18 @@ A document is the set of its five-word shingles, hashed to 64 bits; the sketch i
 the ``SKETCH`` smallest hashes. Documents with equal sets form a class, and only
 classes are compared. Two sets with a similarity of 0.75 or more hold at least
 ``SHARED`` common values among the smallest of their union, but for a chance below
-one in 10**8; all of those stand in both sketches. So inverted lists over retained
-values find every such pair, and need only each sketch's rarest values: with the
-others, too few would be common. Sketches of small sets are the sets, where the
-bound is exact.
-
-Candidates pass an estimate on the union of both sketches and are then decided on
-the full sets. As only components are asked for, lists are worked off in rounds: a
-round compares the members of a list with one of them, and members already known
-to be connected are not compared again. A group of copies costs a multiple of its
-size, not its square. When few pairs are left, or after ``STAR_ROUNDS``, every pair
-of list members in different components is compared, so no link is lost.
+one in 10**8; all of those stand in both sketches. So a class whose retained values
+stand in too few other inverted lists is linked with nothing. Sketches of small
+sets are the sets, where the bound is exact.
+
+The classes left bring their full sets, which get inverted lists of their own, over
+each set's rarest values only: two linked sets share one of them, and where the
+first shared value stands in both bounds what they can share at all. Pairs within
+these bounds are filtered by an estimate on the union of both sketches and then
+decided on the full sets. As only components are asked for, a list's members are
+first compared with one of them; later only members of different components meet,
+so that a group of copies costs a multiple of its size. In the end every pair
+within the bounds and across components has been compared, so no link is lost.
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ WORDS, PERCENT = 5, 75
 SKETCH, SHARED = 64, 27
 #: Up to this size the union of two linked sets fits a sketch, and bounds are exact.
 SMALL = SKETCH * PERCENT // 100
-STAR_ROUNDS = 6
-#: Pairs per list member that are compared at once without a further star round.
-PAIRS_PER_MEMBER = 4
+#: Rounds in which list members are compared with one of them, before all others are.
+STAR_ROUNDS = 2
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -105,39 +105,64 @@ def _least_shared(size: Column) -> Column:
     return F.when(size <= SMALL, F.ceil(size * PERCENT / 100)).otherwise(F.lit(SHARED)).cast("int")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, cls): each class under those of its rarest retained values that another class retains too."""
-    values = classes.select("cls", F.size("hashes").alias("m"), F.explode("hashes").alias("value"))
+def _shared_values(sets: DataFrame) -> DataFrame:
+    """(cls, n, shared): the values of each class that other classes hold too, the rarest first."""
+    values = sets.select("cls", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = values.join(often, "value").groupBy("cls").agg(
-        F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"), F.max("m").alias("m")
-    )
-    m, found = F.col("m"), F.size("shared")
-    # Values of one class only are the rarest of all, so they take the first places of the prefix.
-    room = m - _least_shared(m) + 1 - (m - found)
-    return shared.filter(room > 0).select("cls", F.explode(F.slice("shared", 1, F.least(room, found))).alias("x")).select(
-        F.col("x.value").alias("value"), "cls"
+    return values.join(often, "value").groupBy("cls").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared")
     )
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """(cls) of the classes whose sketches share enough values with others' to be linked with any."""
+    shared = _shared_values(classes.select("cls", "hashes"))
+    return shared.filter(F.size("shared") >= _least_shared(F.col("n"))).select("cls")
+
+
+def inverted_lists(sets: DataFrame) -> DataFrame:
+    """(value, cls, n, left): each set under its rarest values, as far as linked sets must meet.
+
+    ``left`` counts the set's values from this one on in the order of rarity, where values of one set
+    only come first. Two sets whose first common value is this one share at most the smaller ``left``.
+    """
+    shared = _shared_values(sets)
+    placed = shared.select("cls", "n", F.size("shared").alias("found"), F.posexplode("shared").alias("pos", "x"))
+    placed = placed.select(F.col("x.value").alias("value"), "cls", "n", (F.col("found") - F.col("pos")).alias("left"))
+    return placed.filter(100 * F.col("left") >= PERCENT * F.col("n"))
+
+
+def _may_link(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether sets of these sizes can be linked if this is their first common value."""
+    need = PERCENT * (a["n"] + b["n"])
+    sized = 100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])
+    return sized & ((100 + PERCENT) * F.least(a["left"], b["left"]) >= need)
+
+
 def _star(lists: DataFrame, turn: int) -> DataFrame:
     """Pairs of each list's hub with its members of other components; every turn draws other hubs."""
     rank = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
-    hubs = lists.groupBy("value").agg(F.min(F.struct(rank.alias("r"), "cls", "label")).alias("hub"))
-    hubs = hubs.select("value", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
-    joined = lists.join(hubs, "value").filter("label <> hub_label")
-    return joined.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    hubs = lists.groupBy("value").agg(F.min(F.struct(rank.alias("r"), "cls", "label", "n", "left")).alias("hub"))
+    hubs = hubs.select("value", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "label", "n", "left")])
+    bound = _may_link({c: F.col(c) for c in ("n", "left")}, {c: F.col(f"hub_{c}") for c in ("n", "left")})
+    same = lists["value"] == hubs["value"]
+    joined = lists.join(hubs, same & (F.col("label") != F.col("hub_label")) & bound)
+    return joined.select(F.least("cls", "hub_cls").alias("a"), F.greatest("cls", "hub_cls").alias("b")).distinct()
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """All pairs of list members in different components, by way of the components in each list."""
-    groups = lists.select("value", "label").distinct()
-    x, y = groups.withColumnRenamed("label", "x"), groups.withColumnRenamed("label", "y")
-    pairs = x.join(y, "value").filter("x < y")
-    a = lists.select("value", F.col("label").alias("x"), F.col("cls").alias("a"))
-    b = lists.select("value", F.col("label").alias("y"), F.col("cls").alias("b"))
-    met = pairs.join(a, ["value", "x"]).join(b, ["value", "y"])
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """All pairs of list members in different components within the bounds, by way of the components' own bounds."""
+    groups = lists.groupBy("value", "label").agg(F.max("left").alias("left"), F.min("n").alias("n"))
+    x, y = (groups.select(*[F.col(c).alias(f"{k}_{c}") for c in groups.columns]) for k in "xy")
+    # The smallest size and the largest rest of a component bound every one of its members.
+    bound = (100 + PERCENT) * F.least("x_left", "y_left") >= PERCENT * (F.col("x_n") + F.col("y_n"))
+    pairs = x.join(y, (F.col("x_value") == F.col("y_value")) & (F.col("x_label") < F.col("y_label")) & bound)
+    pairs = pairs.select(F.col("x_value").alias("value"), "x_label", "y_label")
+    a, b = (lists.select(*[F.col(c).alias(f"{k}_{c}") for c in lists.columns]) for k in "ab")
+    met = pairs.join(a, (F.col("value") == F.col("a_value")) & (F.col("x_label") == F.col("a_label"))).select("value", "y_label", "a_cls", "a_n", "a_left")
+    bound = _may_link({c: F.col(f"a_{c}") for c in ("n", "left")}, {c: F.col(f"b_{c}") for c in ("n", "left")})
+    met = met.join(b, (F.col("value") == F.col("b_value")) & (F.col("y_label") == F.col("b_label")) & bound)
+    return met.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,36 +183,30 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with another class."""
-    lists = stage(inverted_lists(classes), "lists")
-    members = lists.select("cls").distinct()
+    members = stage(candidates(classes), "members")
     wanted = classes.select("cls", F.col("digest").alias("digest_")).join(members, "cls", "left_semi")
     found = _sets(texts.join(members, texts["id_"] == members["cls"], "left_semi"), None)
     sets = found.join(wanted, (found["id_"] == wanted["cls"]) & (found["digest"] == wanted["digest_"])).select("cls", "hashes")
     sets = stage(sets.dropDuplicates(["cls"]), "sets")
-    total = lists.count()
-    labelled, links, labels = lists.withColumn("label", F.col("cls")), None, None
+    lists = stage(inverted_lists(sets), "lists")
+    labelled, links = lists.withColumn("label", F.col("cls")), None
     for turn in range(STAR_ROUNDS + 1):
-        last = turn == STAR_ROUNDS
-        if turn:
-            counts = labelled.groupBy("value", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("value")
-            open_ = counts.agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("open")).filter("open > 0")
-            open_ = stage(open_, "open_lists")
-            left = open_.agg(F.sum("open")).first()[0] or 0
-            if not left:
-                break
-            last = last or left <= 2 * PAIRS_PER_MEMBER * total
-            labelled = labelled.join(open_.select("value"), "value", "left_semi")
-        pairs = stage(_across(labelled) if last else _star(labelled, turn), "pairs")
+        pairs = stage(_star(labelled, turn) if turn < STAR_ROUNDS else _across(labelled), "pairs")
         new = stage(_linked(pairs, classes, sets), "links")
         links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            labels = connected_components(links)
-        if last:
-            break
-        if labels is not None:
-            known = labels.select(F.col("node").alias("cls"), F.col("component").alias("label"))
-            labelled = stage(lists.join(known, "cls", "left").select("value", "cls", F.coalesce("label", "cls").alias("label")), "labelled")
-    return labels if labels is not None else classes.sparkSession.createDataFrame([], "node long, component long")
+        if turn < STAR_ROUNDS:
+            known = _nearby(links)
+            labelled = lists.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            labelled = stage(labelled.select("value", "cls", "n", "left", "label"), "labelled")
+    return connected_components(links)
+
+
+def _nearby(links: DataFrame) -> DataFrame:
+    """(cls, label): equal labels mean one component, found by two steps along the links; what they miss is compared."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = stage(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("b")).select("cls", F.least("cls", "b").alias("label")), "nearby")
+    further = least.select(F.col("cls").alias("label"), F.col("label").alias("further"))
+    return least.join(further, "label", "left").select("cls", F.coalesce("further", "label").alias("label"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
