@@ -35,6 +35,8 @@ from kadence.sources.staging import stage
 #: Bounds of the two samples that classifiers are fitted on.
 POSITIVES, UNLABELLED = 20_000, 30_000
 FEATURES, MIN_DOCS = 2048, 2
+#: Standard errors by which a feature's shares in the two samples must differ; less is chance.
+LEAST_APART = 3.0
 CLASSIFIERS, STEPS, RATE, DECAY = 4, 200, 0.05, 1e-3
 #: The prior where no labelled row tells it.
 PRIOR = 0.1
@@ -143,12 +145,12 @@ def _vectors(rows: DataFrame, features: dict[str, int]) -> tuple[list[np.ndarray
     return split[0], split[1]
 
 
-def _sampled(df: DataFrame, bound: int, salt: int) -> DataFrame:
-    """All rows, or about ``bound`` of them drawn by their content."""
+def _sampled(df: DataFrame, bound: int, salt: int, *columns: str) -> DataFrame:
+    """All rows, or about ``bound`` of them drawn by the content of some columns."""
     n = df.count()
     if n <= bound:
         return df
-    key = F.pmod(F.xxhash64("id_", "text_", F.lit(salt)), F.lit(1 << 30))
+    key = F.pmod(F.xxhash64(*columns, F.lit(salt)), F.lit(1 << 30))
     return df.filter(key < int((1 << 30) * bound / n))
 
 
@@ -156,8 +158,8 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> Model:
     """A model from tables (id_, text_); sampled to the bounds above. Without positives it has no features."""
     spark = positives.sparkSession
     ship(spark)
-    both = _sampled(positives, POSITIVES, 1).select("text_", F.lit(1).alias("positive")).unionByName(
-        _sampled(unlabelled, UNLABELLED, 2).select("text_", F.lit(0).alias("positive"))
+    both = _sampled(positives, POSITIVES, 1, "id_", "text_").select("text_", F.lit(1).alias("positive")).unionByName(
+        _sampled(unlabelled, UNLABELLED, 2, "id_", "text_").select("text_", F.lit(0).alias("positive"))
     )
     both = stage(both, "fitted_texts")
     sizes = {r.positive: r.n for r in both.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -169,6 +171,7 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> Model:
     pooled = (F.col("pos") + F.col("unl")) / (n_pos + n_unl)
     apart = (x - y) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
     ranked = _counts(both).filter((F.col("pos") >= MIN_DOCS) & (pooled < 1)).select("feature", F.abs(apart).alias("apart"))
+    ranked = ranked.filter(F.col("apart") >= LEAST_APART)
     chosen = [r.feature for r in ranked.orderBy(F.desc("apart"), "feature").limit(FEATURES).collect()]
     if not chosen:
         return nothing
@@ -235,7 +238,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     share = known.agg(F.avg(F.col("toxic_").cast("double"))).first()[0]
     texts = docs.select(F.col(f"`{id_col}`").alias("id_"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text_"))
     texts = texts.filter(~held_out("id_"))
-    toxic = known.filter("toxic_ = 1").select("label_id_")
+    # Sampled before they meet the texts, so their ids may be broadcast and no text is shuffled.
+    toxic = F.broadcast(_sampled(known.filter("toxic_ = 1").select("label_id_"), POSITIVES, 1, "label_id_"))
     positives = texts.join(toxic, F.col("id_") == F.col("label_id_"), "left_semi")
     return train(positives, texts, PRIOR if share is None or share == 0 else share)
 
