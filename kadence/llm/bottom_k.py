@@ -157,9 +157,11 @@ def _across(lists: DataFrame) -> DataFrame:
     # The smallest size and the largest rest of a component bound every one of its members.
     bound = (100 + PERCENT) * F.least("x_left", "y_left") >= PERCENT * (F.col("x_n") + F.col("y_n"))
     pairs = x.join(y, (F.col("x_value") == F.col("y_value")) & (F.col("x_label") < F.col("y_label")) & bound)
-    pairs = pairs.select(F.col("x_value").alias("value"), "x_label", "y_label")
+    pairs = pairs.select(F.col("x_value").alias("value"), "x_label", "y_label", "y_left", "y_n")
     a, b = (lists.select(*[F.col(c).alias(f"{k}_{c}") for c in lists.columns]) for k in "ab")
-    met = pairs.join(a, (F.col("value") == F.col("a_value")) & (F.col("x_label") == F.col("a_label"))).select("value", "y_label", "a_cls", "a_n", "a_left")
+    own = (100 + PERCENT) * F.least("a_left", "y_left") >= PERCENT * (F.col("a_n") + F.col("y_n"))
+    met = pairs.join(a, (F.col("value") == F.col("a_value")) & (F.col("x_label") == F.col("a_label")) & own)
+    met = met.select("value", "y_label", "a_cls", "a_n", "a_left")
     bound = _may_link({c: F.col(f"a_{c}") for c in ("n", "left")}, {c: F.col(f"b_{c}") for c in ("n", "left")})
     met = met.join(b, (F.col("value") == F.col("b_value")) & (F.col("y_label") == F.col("b_label")) & bound)
     return met.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
