@@ -32,7 +32,7 @@ from kadence.llm.batches import slices
 from kadence.llm.boosted_trees import BoostedTrees, fit
 from kadence.llm.shipping import ship
 
-#: Pages the model is fitted on, the longest of them in characters, and variants made of each.
+#: Pages the model is fitted on (about that many), the longest of them in characters, and variants made of each.
 SAMPLE, SAMPLE_CHARS, VARIANTS = 200, 200_000, 4
 ATTRIBUTE_WORDS, MIN_PAGES = 96, 3
 
@@ -450,11 +450,13 @@ def train_on(htmls: list[str], seed: int = 0) -> Model:
 
 
 def train(df: DataFrame, html_col: str, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` pages, drawn by content."""
+    """A model from about ``sample`` pages, drawn by content; tasks send the drawn ones only."""
     ship(df.sparkSession)
     pages = df.select(F.col(f"`{html_col}`").alias("html_")).filter((F.length("html_") > 0) & (F.length("html_") <= SAMPLE_CHARS))
-    drawn = pages.select("html_", F.xxhash64("html_", F.lit(7)).alias("draw_")).orderBy("draw_").limit(sample)
-    return train_on([r.html_ for r in drawn.collect()])
+    n = pages.count()
+    if n > sample:
+        pages = pages.filter(F.pmod(F.xxhash64("html_", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    return train_on(sorted(r.html_ for r in pages.collect()))
 
 
 def extract(df: DataFrame, html_col: str, model: Model, keep: tuple[str, ...]) -> DataFrame:
