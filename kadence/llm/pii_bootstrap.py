@@ -3,11 +3,12 @@
 Four kinds are found by their form (email, ip, card, phone). Their spans are the
 seeds. A lexical pattern is what stands before an identifier: the two words there,
 or a label such as ``tel:`` that ends in a mark or touches it. Patterns and the
-identifier-like strings after them form a graph, which Spark scores by turns: a
-pattern by the share of its occurrences in the whole corpus that lead to known
-identifiers, a string by its best patterns. Strings that are no seed but follow
-patterns of high confidence are found in the end. Common words are no danger: they
-occur far more often than identifiers follow them.
+identifier-like strings after them form a graph, which Spark scores by turns until
+no pattern is added: a pattern by its occurrences in the whole corpus that lead to
+known identifiers, against those that no such string follows; a string by its best
+patterns. Strings of unknown status say little about a pattern that leads to seeds.
+Strings that are no seed but follow patterns of high confidence are found in the end.
+Common words are no danger: they occur far more often than identifiers follow them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
 #: Distinct strings a pattern must lead to, and the score from which it is trusted.
 MIN_SUPPORT, CONFIDENT = 3, 0.7
-ROUNDS = 3
+#: Weight against a pattern of a string that may or may not be an identifier; 1 for patterns of too few seeds.
+UNKNOWN = 0.02
 #: Digits of an identifier-like string.
 MIN_DIGITS = 4
 #: Patterns that tasks hold while they count occurrences; beyond it all contexts are counted and joined.
@@ -220,27 +222,40 @@ def occurrences(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
 def confident_patterns(contexts: DataFrame, totals: DataFrame) -> DataFrame:
     """(pattern, score) of the trusted patterns, from contexts (pattern, instance, seed) and corpus totals.
 
-    Seeds have score 1. A pattern's score is the sum of its strings' scores, each as often as it occurs, over
-    the pattern's occurrences and one more; a string's is one minus the product of its patterns' doubts,
-    where patterns below the mark have no say.
+    Seeds have belief 1, other strings one minus the product of their patterns' doubts, where patterns below the
+    mark have no say. A pattern's score is the sum of its strings' beliefs, each as often as it occurs, over that
+    sum, the occurrences that no identifier-like string follows, the strings' doubts and one more. Where at least
+    ``MIN_SUPPORT`` different seeds vouch for the pattern, a doubt weighs ``UNKNOWN``: whether the strings beside
+    them are identifiers is what is asked. Elsewhere it weighs 1, so that belief handed on from pattern to pattern
+    must cover nearly all of the next one. Beliefs and scores never fall from round to round; the rounds end when
+    one adds no pattern and the scores rise by no thousandth.
     """
     edges = contexts.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edges = stage(edges.join(totals, "pattern"), "edges")
     strings = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("believed"))
-    scored = None
-    for _ in range(ROUNDS):
-        led = edges.join(strings, "instance").groupBy("pattern")
-        scored = led.agg(
-            F.sum(F.col("n") * F.col("believed")).alias("mass"), F.max("total").alias("total"), F.count_if(F.col("believed") >= CONFIDENT).alias("support"), F.sum("n").alias("n")
+    reached = (-1, -1)
+    while True:
+        led = edges.join(strings, "instance").groupBy("pattern").agg(
+            F.sum(F.col("n") * F.col("believed")).alias("mass"),
+            F.sum("n").alias("n"),
+            F.max("total").alias("total"),
+            F.count_if(F.col("believed") >= CONFIDENT).alias("support"),
+            F.count_if("seed").alias("seeds"),
         )
-        scored = scored.select("pattern", "support", (F.col("mass") / (F.greatest("total", "n") + 1)).alias("score"))
-        scored = stage(scored, "patterns")
-        trusted = scored.filter((F.col("score") >= CONFIDENT) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "score")
+        bare = F.greatest(F.col("total") - F.col("n"), F.lit(0))
+        doubts = (F.col("n") - F.col("mass")) * F.when(F.col("seeds") >= MIN_SUPPORT, F.lit(UNKNOWN)).otherwise(F.lit(1.0))
+        score = F.round(F.col("mass") / (F.col("mass") + bare + doubts + 1), 9)
+        trusted = led.select("pattern", "support", score.alias("score")).filter((F.col("score") >= CONFIDENT) & (F.col("support") >= MIN_SUPPORT))
+        trusted = stage(trusted.select("pattern", "score"), "patterns")
+        steps = F.coalesce(F.sum(F.floor(F.col("score") * 1000)), F.lit(0))
+        now = tuple(trusted.agg(F.count(F.lit(1)), steps).first())
+        if now <= reached:
+            return trusted
+        reached = now
         doubt = F.sum(F.log(F.greatest(1 - F.coalesce("score", F.lit(0.0)), F.lit(1e-9))))
         strings = edges.join(trusted, "pattern", "left").groupBy("instance").agg(
             F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(doubt)).alias("believed")
         )
-    return trusted
 
 
 def learn(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:

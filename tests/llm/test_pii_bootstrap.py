@@ -62,6 +62,40 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert redacted[82] == texts[82][1]
 
 
+def half_unseen():
+    """Labels with 50% and 80% strings of no known form, and clean ones: no seeds, or seeds among many bare words."""
+    rows = []
+    for i in range(40):
+        mixed = f"+1 (555) 010-{1000 + i}" if i % 2 else f"0171/5{5000 + 7 * i}"
+        mostly = f"cust{i}@mail.example.com" if i % 5 == 0 else f"DE{4400000 + 31 * i}X{i}"
+        rows.append(f"{prose(i, 12, 900)} tel: {mixed} {prose(i + 300, 9, 900)}")
+        rows.append(f"{prose(i + 50, 12, 900)} account no {mostly} {prose(i + 400, 9, 900)}")
+        rows.append(f"{prose(i + 100, 12, 900)} founded: {1900 + i} {prose(i + 500, 9, 900)}")
+        plain = [f"+1 (555) 020-{1000 + i}", f"{7000 + i}", "tomorrow", "nobody"][i % 4]
+        rows.append(f"{prose(i + 150, 12, 900)} note: {plain} {prose(i + 600, 9, 900)}")
+    return list(enumerate(rows))
+
+
+def test_labels_with_many_unseen_identifiers(spark):
+    texts = half_unseen()
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][1][s.start : s.end] for s in r.found] for r in pii.extract(df, "doc_id", "text").collect() if r.found}
+    tel = {4 * i: [f"0171/5{5000 + 7 * i}"] for i in range(0, 40, 2)}
+    account = {4 * i + 1: [f"DE{4400000 + 31 * i}X{i}"] for i in range(40) if i % 5}
+    assert found == tel | account
+
+
+def test_rounds_go_on_until_no_pattern_is_added(spark):
+    """Each pattern knows the next one by three strings only, so every round adds one."""
+    rows = [("p0", f"seed{i}", True, 1) for i in range(400)]
+    for k in range(7):
+        rows += [(f"p{k}", f"s{k}-{i}", False, 1) for i in range(3)] + [(f"p{k + 1}", f"s{k}-{i}", False, 200) for i in range(3)]
+    edges = spark.createDataFrame(rows, "pattern string, instance string, seed boolean, times int")
+    contexts = edges.selectExpr("pattern", "instance", "seed", "explode(sequence(1, times)) as k").drop("k")
+    trusted = pii.confident_patterns(contexts, contexts.groupBy("pattern").count().withColumnRenamed("count", "total"))
+    assert sorted(r.pattern for r in trusted.collect()) == [f"p{k}" for k in range(8)]
+
+
 def test_redaction_is_the_same_when_patterns_are_joined(spark, monkeypatch):
     df = spark.createDataFrame([*corpus(), (900, None), (901, "")], "doc_id long, text string")
     held = sorted((r.doc_id, r.text) for r in pii.redact(df, "text").collect() if r.text)
