@@ -47,8 +47,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGES = ".,;:!?()[]{}<>\"'“”«»"
-_NUMERIC = re.compile(r"[0-9+][0-9().+/-]*\Z")
+_QUOTES = "[{<\"'“”«»"
+_OPENING = "(" + _QUOTES
+_NUMERIC = re.compile(r"[0-9+(][0-9().+/-]*\Z")
 _LABEL_MARKS = ":=#"
+_MARK = re.compile(f"[{_LABEL_MARKS}]")
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +97,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def patterns_before(text: str, start: int) -> list[str]:
-    """The patterns that lead to ``start``: a label that touches or precedes it, and the two words before."""
+    """The patterns that lead to ``start``: a label that touches or precedes it, and the two words before.
+
+    Brackets and quotes that open before it are stepped over.
+    """
+    while start and text[start - 1] in _OPENING:
+        start -= 1
     before = text[max(0, start - REACH) : start].lower()
     words = before.split()
     touching = bool(before) and not before[-1].isspace()
@@ -121,23 +129,42 @@ def identifier_like(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tu
         end = _token_end(text, m.start())
         inner = max(text.rfind(c, start, m.start()) for c in "=:#") + 1
         start = max(start, inner)
-        while _NUMERIC.match(text[start:end]) and text[end : end + 1] == " ":
+        while i < len(busy) and busy[i][1] <= start:
+            i += 1
+        group = text[start:end].lstrip(_QUOTES)
+        while _NUMERIC.match(group) and text[end : end + 1] == " ":
             following = _token_end(text, end + 1)
-            if not _NUMERIC.match(text[end + 1 : following].rstrip(_EDGES) or "x"):
+            group = text[end + 1 : following]
+            # A span that is taken is no further group of this number.
+            if not _NUMERIC.match(group.rstrip(_EDGES) or "x") or any(s < following for s, _ in busy[i : i + 1]):
                 break
             end = following
-        a, b = start, end
-        while a < b and text[a] in _EDGES:
-            a += 1
-        while b > a and text[b - 1] in _EDGES:
-            b -= 1
-        while i < len(busy) and busy[i][1] <= a:
-            i += 1
+        a, b = _inside_edges(text, start, end)
         free = i == len(busy) or busy[i][0] >= b
         if free and sum("0" <= c <= "9" for c in text[a:b]) >= MIN_DIGITS:
             yield a, b
 
 
+def _inside_edges(text: str, a: int, b: int) -> tuple[int, int]:
+    """The range without marks at its edges; a round bracket stays where its partner lies inside."""
+    opened: list[int] = []
+    partner: dict[int, int] = {}
+    for k in range(a, b) if text.find("(", a, b) >= 0 else ():
+        if text[k] == "(":
+            opened.append(k)
+        elif text[k] == ")" and opened:
+            partner[k] = opened.pop()
+            partner[partner[k]] = k
+    while a < b and (text[a] in _EDGES or text[b - 1] in _EDGES):
+        if text[b - 1] in _EDGES and partner.get(b - 1, a) <= a:
+            b -= 1
+        elif text[a] in _EDGES and partner.get(a, b) >= b:
+            a += 1
+        else:
+            break
+    return a, b
+
+
 def _token_end(text: str, at: int) -> int:
     while at < len(text) and not text[at].isspace():
         at += 1
@@ -190,9 +217,8 @@ def _contexts_of(text: str, seconds: frozenset[str] | None) -> Iterator[str]:
                 yield f"label {words[i]}"
     if marked:
         for word in words:
-            last = max(map(word.rfind, _LABEL_MARKS))
-            if 0 <= last < len(word) - 1:
-                yield f"touching {word[: last + 1]}"
+            for m in _MARK.finditer(word, 0, len(word) - 1):
+                yield f"touching {word[max(0, m.end() - REACH) : m.end()]}"
 
 
 def occurrences(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
@@ -231,7 +257,7 @@ def confident_patterns(contexts: DataFrame, totals: DataFrame) -> DataFrame:
     one adds no pattern and the scores rise by no thousandth.
     """
     edges = contexts.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    edges = stage(edges.join(totals, "pattern"), "edges")
+    edges = stage(edges.join(totals, "pattern", "left"), "edges")
     strings = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("believed"))
     reached = (-1, -1)
     while True:
@@ -242,7 +268,7 @@ def confident_patterns(contexts: DataFrame, totals: DataFrame) -> DataFrame:
             F.count_if(F.col("believed") >= CONFIDENT).alias("support"),
             F.count_if("seed").alias("seeds"),
         )
-        bare = F.greatest(F.col("total") - F.col("n"), F.lit(0))
+        bare = F.greatest(F.coalesce("total", "n") - F.col("n"), F.lit(0))
         doubts = (F.col("n") - F.col("mass")) * F.when(F.col("seeds") >= MIN_SUPPORT, F.lit(UNKNOWN)).otherwise(F.lit(1.0))
         score = F.round(F.col("mass") / (F.col("mass") + bare + doubts + 1), 9)
         trusted = led.select("pattern", "support", score.alias("score")).filter((F.col("score") >= CONFIDENT) & (F.col("support") >= MIN_SUPPORT))

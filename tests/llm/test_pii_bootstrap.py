@@ -85,6 +85,43 @@ def test_labels_with_many_unseen_identifiers(spark):
     assert found == tel | account
 
 
+#: After the mark: what follows the label, and the string in it that must be found.
+BRACKETED = [
+    ("tel: ", "(555) 123-4567", "(555) 123-4567"),
+    ("tel: ", "((555) 123 4568).", "(555) 123 4568"),
+    ("tel: ", '"0171/55512"', "0171/55512"),
+    ("tel: ", "“0171 555 13”", "0171 555 13"),
+    ("tel: ", "01719 555 +1 (555) 010-7777", "01719 555"),
+    ("mail: ", "<4455667>", "4455667"),
+    ("mail: ", "[(4455668)]", "4455668"),
+    ("ip:", "(host-1234)", "host-1234"),
+    ('"phone":', '"0171-55514"', "0171-55514"),
+]
+
+
+def test_identifiers_in_brackets_and_quotes(spark):
+    """Seeds in such places teach, and strings of unknown form in them are found, whole."""
+    rows = []
+    for i in range(12):
+        seeds = (f"tel: (+1 (555) 010-{1000 + i})", f"mail: <bob{i}@x.example.com>", f"ip:10.0.0.{i}:8080", f'"phone":"+1 555 010 {2000 + i}"')
+        rows += [f"{prose(40 * i + k, 8, 900)} {seed} {prose(40 * i + k + 20, 6, 900)}" for k, seed in enumerate(seeds)]
+    planted = {len(rows) + k: [gold] for k, (_, _, gold) in enumerate(BRACKETED)}
+    rows += [f"{prose(900 + k, 8, 900)} {label}{form} {prose(950 + k, 6, 900)}" for k, (label, form, _) in enumerate(BRACKETED)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.found] for r in pii.extract(df, "doc_id", "text").collect() if r.found}
+    assert found == planted
+    redacted = {r.doc_id: r.text for r in pii.redact(df, "text").collect()}
+    assert all(redacted[i] == rows[i].replace("+1 (555) 010-7777", "[PHONE]").replace(gold, "[ID]") for i, (gold,) in planted.items())
+
+
+def test_labels_are_counted_wherever_they_lead():
+    """What patterns_before reads is what _contexts_of counts, also in words of many marks and beyond REACH."""
+    for text in ("a ip:10.0.0.1:8080 b", 'x {"tel":("12345") y', "q=" + "z" * 400 + "=12345 b", "no: <12345> b", "say to me ((12345)) b"):
+        start = text.index("12345") if "12345" in text else text.index("10.0")
+        led = pii.patterns_before(text, start)
+        assert led and set(led) <= set(pii._contexts_of(text, None)), text
+
+
 def test_rounds_go_on_until_no_pattern_is_added(spark):
     """Each pattern knows the next one by three strings only, so every round adds one."""
     rows = [("p0", f"seed{i}", True, 1) for i in range(400)]
