@@ -449,14 +449,33 @@ def train_on(htmls: list[str], seed: int = 0) -> Model:
     return Model(vocabulary, fit(x, y, weight))
 
 
+#: Fixed: what may name an element without being one, and the elements that label a page.
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1"
+_LABELS = r"(?i)<(article|main)[\s/>]"
+
+
 def train(df: DataFrame, html_col: str, sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` pages, drawn by content; tasks send the drawn ones only."""
+    """A model from about ``sample`` different pages that label themselves, drawn by content among all such pages.
+
+    Tasks send the drawn pages only, each once. A table that has pages, but none with an article or main element
+    to learn from, is an error; without any page there is nothing to learn and nothing to extract.
+    """
     ship(df.sparkSession)
-    pages = df.select(F.col(f"`{html_col}`").alias("html_")).filter((F.length("html_") > 0) & (F.length("html_") <= SAMPLE_CHARS))
-    n = pages.count()
-    if n > sample:
-        pages = pages.filter(F.pmod(F.xxhash64("html_", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    return train_on(sorted(r.html_ for r in pages.collect()))
+    pages = df.select(F.col(f"`{html_col}`").alias("html_")).filter(F.length("html_") > 0)
+    labelled = pages.filter((F.length("html_") <= SAMPLE_CHARS) & F.col("html_").rlike(_LABELS))
+    labelled = labelled.filter(F.regexp_replace("html_", _HIDDEN, " ").rlike(_LABELS))
+    spot = F.xxhash64("html_", F.lit(7))
+    n = labelled.select(spot.alias("spot_")).distinct().count()
+    model, wanted = train_on([]), sample
+    # A draw can come out empty by chance, or hold elements that the parser does not see: draw more, within bounds.
+    while n and not len(model.trees.leaves) and wanted < 32 * sample:
+        share = int((1 << 30) * min(1.0, wanted / n))
+        drawn = labelled.filter(F.pmod(spot, F.lit(1 << 30)) < share).distinct()
+        model = train_on(sorted(r.html_ for r in drawn.collect()))
+        wanted = 2 * wanted if wanted < n else 32 * sample
+    if not len(model.trees.leaves) and not pages.isEmpty():
+        raise ValueError(f"found no page of at most {SAMPLE_CHARS} characters with an article or main element to learn from")
+    return model
 
 
 def extract(df: DataFrame, html_col: str, model: Model, keep: tuple[str, ...]) -> DataFrame:

@@ -76,6 +76,24 @@ def test_pages_without_telling_elements(model):
     assert np.mean(scores) > 0.9
 
 
+def test_rare_labelled_pages_are_drawn(spark, monkeypatch):
+    """Six of 3000 pages label themselves, one of them in a third of all rows; comments and scripts label nothing."""
+    plain = [page(s, 1, "div").replace("var a='", f"var a='<article>{s}<!-- <main> -->") for s in range(200)] * 10
+    rare = [page(s, 1 + s) for s in range(5)] + [page(5, 2)] * 1000
+    df = spark.createDataFrame([(h,) for h in plain + rare], "html string")
+    drawn = []
+    whole = dom.train_on
+    monkeypatch.setattr(dom, "train_on", lambda htmls: drawn.append(htmls) or whole(htmls))
+    model = dom.train(df, "html", sample=40)
+    assert drawn[-1] == sorted(set(rare)) and len(model.trees.leaves)
+
+
+def test_no_labelled_page_is_an_error(spark):
+    df = spark.createDataFrame([(page(s, 2, "div"),) for s in range(4)], "html string")
+    with pytest.raises(ValueError, match="article or main"):
+        dom.train(df, "html")
+
+
 def test_given_pages(spark):
     df = spark.read.parquet(DATA)
     rows = dom.extract(df, "html", dom.train(df, "html", sample=40), keep=("page_id", "html")).collect()
