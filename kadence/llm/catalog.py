@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadence.llm import bottom_k, byte_bpe, chat_windows, dom_boost, host_rules, packing, pii_bootstrap, positive_unlabelled, prefix_hashes, warc_fixity
+from kadence.llm import (
+    bottom_k,
+    byte_bpe,
+    chat_windows,
+    dom_boost,
+    host_rules,
+    packing,
+    pii_bootstrap,
+    positive_unlabelled,
+    prefix_hashes,
+    ranked_search,
+    warc_fixity,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -209,4 +221,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents, "doc_id", "text", RANKS, public_tokenizers.PATTERN)
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_RANKED_SQL = rf"""
+with docs as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') as terms from documents),
+totals as (select count(*) as n_docs, sum(len(terms)) as n_terms from docs where len(terms) > 0),
+asked as (
+  select item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term
+  from (select distinct item_id, coalesce(text, '') as text from benchmark)),
+times as (select item_id, term, count(*) as times from asked group by item_id, term),
+spread as (select row_id, doc_id, len(terms) as n, unnest(terms) as term from docs),
+found as (
+  select row_id, doc_id, n, term, count(*) as tf from spread semi join times using (term)
+  group by row_id, doc_id, n, term),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from found, totals group by term),
+impacts as (
+  select row_id, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) as impact
+  from found, totals),
+scores as (
+  select item_id, row_id, doc_id, sum(times * w * impact)::bigint as score
+  from times join weights using (term) join impacts using (term) group by item_id, row_id, doc_id),
+ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+  from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query("op12_ranked_search", _RANKED_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return ranked_search.rank(documents, "doc_id", "text", items, "item_id", "text")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
