@@ -20,6 +20,7 @@ from kadence.llm import (
     positive_unlabelled,
     prefix_hashes,
     ranked_search,
+    size_bands,
     warc_fixity,
 )
 
@@ -167,32 +168,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
-
-_NEAR_SQL = r"""
+def _near_sql(words: int, percent: int, last: str) -> str:
+    """Components of documents whose sets of shingles are alike, and a column more."""
+    return rf"""
 with recursive texts as (
   select doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[ \t\n\x0B\f\r]'), lambda w: w <> '') as words
   from documents),
 shingles as (
-  select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle
-  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from texts where len(words) > 0)),
+  select distinct doc_id, array_to_string(words[i:i + {words - 1}], ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - {words - 2}, 2))) as i from texts where len(words) > 0)),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 links as (
   select a.doc_id as a, b.doc_id as b
   from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
   join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
   group by a.doc_id, b.doc_id, x.n, y.n
-  having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+  having 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
 reach(doc_id, other) as (
   select doc_id, doc_id from texts union select reach.doc_id, links.b from reach join links on reach.other = links.a),
 components as (select doc_id, min(other) as component_id from reach group by doc_id)
-select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+select doc_id, coalesce(n, 0) as n_shingles, component_id{last}
 from components left join sizes using (doc_id)
 """
 
 
-@query("op6_bottom_k", _NEAR_SQL)
+@query("op6_bottom_k", _near_sql(5, 75, ", doc_id = component_id as kept"))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -257,4 +259,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(documents, "doc_id", "text", items, "item_id", "text")
 
 
+@query("op13_size_bands", _near_sql(3, 90, ""))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return size_bands.similar_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
