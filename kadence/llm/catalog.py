@@ -19,6 +19,7 @@ from kadence.llm import (
     pii_bootstrap,
     positive_unlabelled,
     prefix_hashes,
+    prefix_trie,
     ranked_search,
     size_bands,
     warc_fixity,
@@ -223,6 +224,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents, "doc_id", "text", RANKS, public_tokenizers.PATTERN)
 
 
+_TRIE_SQL = r"""
+with recursive steps as (  -- the crc32 of each number's decimal, a bit at a time; 3988292384 is the reversed polynomial
+  select conv_id, conv_id::varchar as c, 0 as i, 4294967295::bigint as r
+  from (select distinct conv_id from conversations where conv_id is not null)
+  union all
+  select conv_id, c, i + 1, xor(x // 2, (x % 2) * 3988292384)
+  from (select *, case when i % 8 = 0 then xor(r, ascii(substr(c, i // 8 + 1, 1))::bigint) else r end as x
+        from steps where i < 8 * length(c))),
+shares as (select conv_id, conv_id - conv_id % 20 as base, xor(r, 4294967295) % 4 as h from steps where i = 8 * length(c)),
+said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+turns as (
+  select conv_id, md5(length(role) || ':' || role || text) as digest,
+         len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]'), lambda w: w <> '')) as words,
+         row_number() over (partition by conv_id order by turn nulls first, role, left(text, 64),
+                            md5(length(role) || ':' || role || text)) as pos
+  from said),
+lengths as (select conv_id, count(*) as given from turns group by conv_id),
+kept as (
+  select s.*, least(h, coalesce(given, 0)) as k from shares s left join lengths l on l.conv_id = s.base),
+rebuilt as (
+  select kept.conv_id, pos, digest, words from kept join turns on turns.conv_id = base and pos <= h
+  union all
+  select conv_id, pos - h + k, digest, words from kept join turns using (conv_id) where pos > h),
+paths as (
+  select conv_id, pos as depth, words, string_agg(digest, ',') over (partition by conv_id order by pos) as key from rebuilt
+  union all
+  select conv_id, 0, 0, '' from shares),
+placed as (
+  select *, lag(key) over (partition by conv_id order by depth) as parent_key,
+         lead(key) over (partition by conv_id order by depth) is null as ends
+  from paths),
+nodes as (
+  select key, any_value(depth) as depth, any_value(parent_key) as parent_key, any_value(words) as words,
+         min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from placed group by key),
+children as (select parent_key as key, count(*) as n_children from nodes where depth > 0 group by parent_key),
+counted as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (key)),
+subtrees as (
+  select p.key, count(*) filter (u.n_children = 0) as n_leaves, sum((u.n_convs - 1) * u.words)::bigint as saved_tokens
+  from counted u join paths p on p.conv_id = u.conv_id and p.depth <= u.depth group by p.key)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+from counted n join subtrees using (key) left join nodes up on up.key = n.parent_key and n.depth > 0
+"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(*prefix_trie.with_borrowed_openings(turns, convs))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _RANKED_SQL = rf"""
