@@ -28,6 +28,11 @@ CUT_AT = 65_536
 #: A lone space between two visible characters: the pattern attaches the space to what follows,
 #: and nothing before it can take it in.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Runs of white space from this length on are encoded apart: the library's matcher keeps a stack over a run.
+LONG_RUN = 4096
+#: Fixed: what the pattern takes for white space.
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = re.compile(f"{_WHITE}{{{LONG_RUN},}}")
 
 
 @functools.cache
@@ -50,11 +55,30 @@ def safe_parts(text: str, size: int = CUT_AT) -> Iterator[str]:
     yield text[start:]
 
 
+def spaced_parts(text: str, size: int = CUT_AT) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts, and whether a part is one piece of the pattern.
+
+    Such pieces are long runs of white space, all but the last character where visible text follows: the pattern
+    leaves that one to what comes next.
+    """
+    start = 0
+    for run in _RUN.finditer(text):
+        for part in safe_parts(text[start : run.start()], size):
+            yield part, False
+        start = run.end() - (run.end() < len(text))
+        yield text[run.start() : start], True
+    for part in safe_parts(text[start:], size):
+        yield part, False
+
+
 def encode_text(encoding: tiktoken.Encoding, text: str, size: int = CUT_AT) -> list[int]:
     """The ids of a whole text."""
-    if len(text) <= size:
+    if len(text) <= min(size, LONG_RUN):
         return encoding.encode_ordinary(text)
-    return [i for part in safe_parts(text, size) for i in encoding.encode_ordinary(part)]
+    ids: list[int] = []
+    for part, whole in spaced_parts(text, size):
+        ids += encoding._encode_single_piece(part) if whole else encoding.encode_ordinary(part)
+    return ids
 
 
 def encode(

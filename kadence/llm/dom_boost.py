@@ -55,7 +55,12 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: A quote opens a string only after an equals sign.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -104,17 +109,25 @@ def parse(html: str) -> Page:
     nodes = [Node("#root", (), -1, 0)]
     texts: list[tuple[int, int, str]] = []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements: tag and their block node
+    opened = Counter()  # how many of each tag are open
+    blocks = [0]  # places of the open block elements in the stack
+    runs = [Counter()]  # open inline elements after each of them
     skipping, links, block, at = 0, 0, 0, 0
 
     def close(to: int) -> None:
         nonlocal block, skipping, links
         while len(stack) > to:
             tag, node = stack.pop()
+            opened[tag] -= 1
             skipping -= tag in SKIPPED
             links -= tag == "a"
-            if tag not in INLINE:
+            if tag in INLINE:
+                runs[-1][tag] -= 1
+            else:
                 nodes[node].end = len(nodes)
                 block += 1
+                blocks.pop()
+                runs.pop()
 
     def text(raw: str) -> None:
         if not raw or skipping:
@@ -136,29 +149,26 @@ def parse(html: str) -> Page:
             break
         text(html[position : found.start()])
         position = found.end()
-        closing, tag, attributes = found[1] or found[4], found[2] or found[5], found[3] or found[6] or ""
+        closing, tag, attributes = found[1], found[2], found[3] or ""
         if not tag:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end does not reach over a block
+            # An inline end does not reach over a block. The walk ends what it passes, so no element is passed twice.
+            if runs[-1][tag] if tag in INLINE else opened[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag == "br":
             text(" ")
         if tag in VOID:
             block += tag == "hr"
             continue
-        if tag not in INLINE:
-            _end_paragraph(stack, close)
-        if tag in _CLOSES:
+        if tag not in INLINE and opened["p"]:
+            _end_paragraph(stack, blocks, close)
+        if tag in _CLOSES and any(opened[t] for t in _CLOSES[tag][0]):
             ends, fences = _CLOSES[tag]
             to = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
+            for i in reversed(blocks):
                 if stack[i][0] in fences:
                     break
                 if stack[i][0] in ends:
@@ -170,6 +180,11 @@ def parse(html: str) -> Page:
             nodes.append(Node(tag, _attribute_words(attributes), at, nodes[at].depth + 1))
             at = len(nodes) - 1
             block += 1
+            blocks.append(len(stack))
+            runs.append(Counter())
+        else:
+            runs[-1][tag] += 1
+        opened[tag] += 1
         stack.append((tag, at))
         skipping += tag in SKIPPED
         links += tag == "a"
@@ -182,14 +197,14 @@ def parse(html: str) -> Page:
     return Page(nodes, texts)
 
 
-def _end_paragraph(stack: list[tuple[str, int]], close) -> None:
+def _end_paragraph(stack: list[tuple[str, int]], blocks: list[int], close) -> None:
     """A block element ends an open paragraph, and the inline elements in it."""
-    for i in range(len(stack) - 1, 0, -1):
+    for i in reversed(blocks):
         tag = stack[i][0]
         if tag == "p":
             close(i)
             return
-        if tag not in INLINE and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return
 
 
@@ -449,6 +464,25 @@ def train_on(htmls: list[str], seed: int = 0) -> Model:
     return Model(vocabulary, fit(x, y, weight))
 
 
+def made_pages(n: int, seed: int = 0) -> list[str]:
+    """Pages of invented words with an article among a menu, notes and a footer, for want of pages to learn from."""
+    draw = random.Random(seed)
+
+    def words(low: int, high: int) -> str:
+        one = lambda: "".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(draw.randint(1, 4)))
+        return " ".join(one() for _ in range(draw.randint(low, high)))
+
+    pages = []
+    for _ in range(n):
+        menu = "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(draw.randint(3, 9)))
+        body = "".join(f"<p>{words(15, 80)}, {words(5, 40)}. {words(8, 30)}.</p>" for _ in range(draw.randint(1, 9)))
+        pages.append(
+            f"<html><body><nav><ul>{menu}</ul></nav><article><h1>{words(2, 8)}</h1>{body}</article>"
+            f"<aside><h3>{words(1, 4)}</h3><p>{words(4, 20)}</p></aside><footer>{words(3, 12)}</footer></body></html>"
+        )
+    return pages
+
+
 #: Fixed: what may name an element without being one, and the elements that label a page.
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1"
 _LABELS = r"(?i)<(article|main)[\s/>]"
@@ -458,7 +492,7 @@ def train(df: DataFrame, html_col: str, sample: int = SAMPLE) -> Model:
     """A model from about ``sample`` different pages that label themselves, drawn by content among all such pages.
 
     Tasks send the drawn pages only, each once. A table that has pages, but none with an article or main element
-    to learn from, is an error; without any page there is nothing to learn and nothing to extract.
+    to learn from, gets a model fitted on made pages; without any page there is nothing to learn or to extract.
     """
     ship(df.sparkSession)
     pages = df.select(F.col(f"`{html_col}`").alias("html_")).filter(F.length("html_") > 0)
@@ -474,7 +508,7 @@ def train(df: DataFrame, html_col: str, sample: int = SAMPLE) -> Model:
         model = train_on(sorted(r.html_ for r in drawn.collect()))
         wanted = 2 * wanted if wanted < n else 32 * sample
     if not len(model.trees.leaves) and not pages.isEmpty():
-        raise ValueError(f"found no page of at most {SAMPLE_CHARS} characters with an article or main element to learn from")
+        model = train_on(made_pages(sample))
     return model
 
 

@@ -62,6 +62,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from the at signs: a local part reaches back as far as its letters go."""
     end, at = 0, text.find("@")
@@ -82,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return spans
     for m in _IP.finditer(text):
-        if all(int(part) <= 255 for part in m[0].split(".")):
+        if all(_is_byte(part) for part in m[0].split(".")):
             spans.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:

@@ -98,10 +98,10 @@ def build_tree(records: DataFrame, heights: tuple[int, int] | None = None) -> Tr
     up = F.floor(F.col("node") / FANOUT).cast("long").alias("node")
     levels = [stage(_ranges(records), "ranges")]
     for _ in range(within):
-        levels.append(_combine(levels[-1], [F.col("segment"), up], ["node"]))
+        levels.append(stage(_combine(levels[-1], [F.col("segment"), up], ["node"]), "nodes"))
     group = (F.floor(F.col("segment") / FANOUT)).cast("long").alias("segment")
     for _ in range(across):
-        levels.append(_combine(levels[-1], [group, F.lit(0).cast("long").alias("node")], ["segment"]))
+        levels.append(stage(_combine(levels[-1], [group, F.lit(0).cast("long").alias("node")], ["segment"]), "nodes"))
     return Tree(records, tuple(levels), within)
 
 
@@ -130,15 +130,15 @@ def audit(a: Tree, b: Tree) -> DataFrame:
     if len(a.levels) != len(b.levels) or a.within != b.within:
         raise ValueError("the trees differ in height; build both with shared_heights(a, b)")
     top = len(a.levels) - 1
-    bad = _differing(a.levels[top], b.levels[top])
+    # Each level is written: the plan of a level would hold that of the one above twice.
+    bad = stage(_differing(a.levels[top], b.levels[top]), "differing")
     for level in range(top - 1, -1, -1):
         if level >= a.within:
             parents = [F.floor(F.col("segment") / FANOUT).cast("long"), F.lit(0).cast("long")]
         else:
             parents = [F.col("segment"), F.floor(F.col("node") / FANOUT).cast("long")]
         under = [_under(t.levels[level], parents, bad) for t in (a, b)]
-        bad = _differing(*under)
-    bad = stage(bad, "differing_ranges")
+        bad = stage(_differing(*under), "differing")
     place = [F.col("segment"), F.floor(F.col("offset") / RANGE_BYTES).cast("long")]
     x, y = (_under(t.records, place, bad) for t in (a, b))
     left = x.select("segment", "offset", *[F.col(c).alias(f"a_{c}") for c in ("length", "record_id", "sha256")])

@@ -1,5 +1,6 @@
 import glob
 import os
+import time
 
 import numpy as np
 import pytest
@@ -88,10 +89,70 @@ def test_rare_labelled_pages_are_drawn(spark, monkeypatch):
     assert drawn[-1] == sorted(set(rare)) and len(model.trees.leaves)
 
 
-def test_no_labelled_page_is_an_error(spark):
-    df = spark.createDataFrame([(page(s, 2, "div"),) for s in range(4)], "html string")
-    with pytest.raises(ValueError, match="article or main"):
-        dom.train(df, "html")
+def test_without_labelled_pages_made_ones_teach(spark):
+    df = spark.createDataFrame([(s, page(s, 4, "div")) for s in range(30)], "page_id long, html string")
+    rows = dom.extract(df, "html", dom.train(df, "html", sample=60), keep=("page_id",)).collect()
+    shares = []
+    for r in rows:
+        wanted, got = set(gold(r.page_id).split()), set(r.text.split())
+        shares.append(len(wanted & got) / len(wanted | got))
+    assert np.mean(shares) > 0.7
+
+
+def whole(html):
+    parsed = dom.parse(html)
+    return dom.text_of(parsed, np.ones(len(parsed.nodes), bool))
+
+
+def test_quotes_open_strings_after_an_equals_sign_only():
+    assert whole("<p title=don't>first words</p><p title=it's>second words</p>") == "first words\nsecond words"
+    assert whole("""<p title="a>b" class='c>d' x = "e>f" y>one</p><a href=x=y>two</a>""") == "one\ntwo"
+    assert whole("<p title='never closed>three</p>four") == "three\nfour"
+
+
+def test_many_unclosed_elements_take_linear_time():
+    n = 100_000
+    for html in (
+        "<i>" * n + "x" + "</b>" * n,
+        "<i>" * n + "<div>x</div>" * n,
+        "<h1>" * n + "<p>x</p>" * n,
+        "<p><i>x" * n,
+        "<ul><li>" * n + "x<li></li>" * n,
+        "<div>" * n + "<td>x</td>" * n,
+        "<p a='x" * n,
+    ):
+        start = time.perf_counter()
+        dom.parse(html)
+        assert time.perf_counter() - start < 20
+
+
+def small_trees(n):
+    """Parents of every tree of n nodes whose numbers go in page order."""
+    if n == 1:
+        yield [-1]
+        return
+    for parents in small_trees(n - 1):
+        at = n - 2
+        while at >= 0:
+            yield [*parents, at]
+            at = parents[at]
+
+
+def test_decoding_finds_the_best_closed_choice():
+    draw = np.random.default_rng(4)
+    for parents in [p for n in range(1, 7) for p in small_trees(n)]:
+        n = len(parents)
+        nodes = [dom.Node("div", (), p, 0, chars=int(draw.integers(0, 50))) for p in parents]
+        margins = draw.normal(size=n)
+        gain = margins * np.array([1 + np.sqrt(x.chars) for x in nodes])
+        best = max(
+            sum(gain[i] for i in range(n) if bits >> i & 1)
+            for bits in range(1, 1 << n, 2)
+            if all(not bits >> i & 1 or bits >> parents[i] & 1 for i in range(1, n))
+        )
+        keep = dom.decode(dom.Page(nodes, []), margins)
+        assert keep[0] and all(keep[parents[i]] for i in range(1, n) if keep[i])
+        assert abs(gain[keep].sum() - best) < 1e-9
 
 
 def test_given_pages(spark):

@@ -54,5 +54,20 @@ def test_equal_replicas_have_equal_roots(spark):
     assert len(x.levels) > 3
 
 
+def test_ids_far_apart(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in (0, 3, 10**6, 10**12, 10**15)]
+    other = [(i, u, "X" + h[1:] if i == 10**12 else h) for i, u, h in rows if i != 3] + [(10**15 + 1, "u", "new")]
+    found = wf.compare(archive(spark, rows), archive(spark, other)).collect()
+    assert {(r.record_id, r.status) for r in found} == {(3, "missing"), (10**12, "corrupt"), (10**15 + 1, "extra")}
+
+
+def test_plans_do_not_grow_with_the_height(spark):
+    def joins(ids):
+        a, b = (archive(spark, [(i, "u", h) for i in ids]) for h in ("x", "y"))
+        return wf.compare(a, b)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert joins([0, 10**4]) == joins([0, 10**15]) < 10
+
+
 def test_empty_archives(spark):
     assert wf.compare(archive(spark, []), archive(spark, [])).count() == 0
