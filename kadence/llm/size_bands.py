@@ -44,7 +44,7 @@ WORDS, PERCENT = 3, 90
 SAMPLE, SHARE = 64, 60
 #: Rows on each side of a sub-tile, on average.
 TILE = 1024
-#: Bits of a signature: a quarter to half of the set's size, within these limits.
+#: Bits of a signature: once to twice the set's size, within these limits.
 LEAST_BITS, MOST_BITS = 64, 65_536
 #: Rounds in which tile members are compared with one of them, before all others are.
 STAR_ROUNDS = 2
@@ -74,7 +74,7 @@ def sampled(values: np.ndarray, band: int) -> np.ndarray:
 
 def signature(values: np.ndarray, band: int) -> np.ndarray:
     """The parity of the values in each of the band's bits, as 64-bit words."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, band - 1)))
+    bits = min(MOST_BITS, max(LEAST_BITS, 2 << band))
     at = (values.view(np.uint64) * _SPREAD) >> np.uint64(65 - bits.bit_length())
     odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
@@ -180,8 +180,11 @@ def _bounded(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _star(labelled: DataFrame, signatures: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each tile's hub with its members of other components; every turn draws other hubs."""
-    rank = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    """Pairs of each tile's hub with its members of other components.
+
+    First tiles of like members have one hub, which joins most of them at once; later each draws its own.
+    """
+    rank = F.col("cls") if turn == 0 else F.xxhash64("cls", "value", F.lit(turn))
     hubs = labelled.groupBy("band", "value").agg(F.min(F.struct(rank.alias("r"), "cls", "label")).alias("hub"))
     hubs = hubs.select("band", "value", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
     met = labelled.join(hubs, ["band", "value"]).filter("label <> hub_label")
@@ -207,7 +210,8 @@ def _sub_tiles(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
     rows = labelled.join(split.select("band", "value", "most", "bm", "bo", "labels"), ["band", "value"])
     is_most = F.col("label") == F.col("most")
     own = F.pmod(F.xxhash64("cls"), F.when(is_most, F.col("bm")).otherwise(F.col("bo"))).cast("int")
-    rows = rows.withColumn("is_most", is_most).withColumn("own", own).join(signatures, ["cls", "band"])
+    held = labelled.groupBy("cls", "band").agg(F.sort_array(F.collect_list("value")).alias("held"))
+    rows = rows.withColumn("is_most", is_most).withColumn("own", own).join(signatures.join(held, ["cls", "band"]), ["cls", "band"])
 
     def at(count: str, kind: int, make) -> Column:
         return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda x: F.struct(F.lit(kind).alias("kind"), *make(x)))
@@ -220,11 +224,11 @@ def _sub_tiles(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
     rows = rows.withColumn("sub", F.explode(sub))
     inner = (F.col("sub.kind") == 1) & (F.col("sub.i") == F.col("sub.j"))
     side = F.when(F.col("sub.kind") == 0, F.col("is_most").cast("int") - 2).otherwise(F.col("own"))
-    return rows.select("band", "value", "sub.*", inner.alias("inner"), side.alias("own"), "n", "cls", "label", "signature")
+    return rows.select("band", "value", "sub.*", inner.alias("inner"), side.alias("own"), "n", "cls", "label", "signature", "held")
 
 
 def _compared(sub: DataFrame) -> DataFrame:
-    """(a, b) of the pairs in a sub-tile that are of different components and within the bounds."""
+    """(a, b) of the pairs in a sub-tile that are of different components and within the bounds, once each."""
     keys = ["band", "value", "kind", "i", "j"]
     rows = sub.repartition(*keys).sortWithinPartitions(*keys, "n")
 
@@ -241,9 +245,26 @@ def _compared(sub: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from _pairs(held)
 
+    # Two sets may meet in two bands.
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+class _Held:
+    """The tiles of each row's set, as sets made when they are first asked for."""
+
+    def __init__(self, lists: pa.Array) -> None:
+        self.lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        self.sets: dict[int, frozenset[int]] = {}
+
+    def of(self, row: int) -> frozenset[int]:
+        if row not in self.sets:
+            self.sets[row] = frozenset(self.lists[row].as_py())
+        return self.sets[row]
+
+    def first(self, x: int, y: int) -> int:
+        return min(self.of(x) & self.of(y))
+
+
 def _starts(table: pa.Table) -> np.ndarray:
     """Whether a row begins a sub-tile."""
     new = np.zeros(table.num_rows, bool)
@@ -255,12 +276,16 @@ def _starts(table: pa.Table) -> np.ndarray:
 
 
 def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Every row with the ones after it in its sub-tile, one distance after another; rows go by size, so most stop early."""
+    """Every row with the ones after it in its sub-tile, one distance after another; rows go by size, so most stop early.
+
+    A pair is given in the first tile that holds both only.
+    """
     all_bands = table.column("band").to_numpy()
     for band in np.unique(all_bands):
         part = table.filter(pa.array(all_bands == band)).combine_chunks()
         tile = np.cumsum(_starts(part))
-        n, cls, label, own = (part.column(c).to_numpy() for c in ("n", "cls", "label", "own"))
+        n, cls, label, own, value = (part.column(c).to_numpy() for c in ("n", "cls", "label", "own", "value"))
+        held = _Held(part.column("held"))
         inner = part.column("inner").to_numpy(zero_copy_only=False)
         words = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint64).reshape(len(n), -1)
         at = np.arange(len(n))
@@ -275,7 +300,9 @@ def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
                 x = met[start : start + step]
                 y = x + distance
                 good = may_link(n[x], n[y], differing(words[x], words[y]))
-                a, b = cls[x[good]], cls[y[good]]
+                x, y = x[good], y[good]
+                first = np.fromiter((held.first(i, j) == value[i] for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                a, b = cls[x[first]], cls[y[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
@@ -300,15 +327,6 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _nearby(links: DataFrame) -> DataFrame:
-    """(cls, label): equal labels mean one component, found by two steps along the links; what they miss is compared."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("b"))
-    least = stage(least.select("cls", F.least("cls", "b").alias("label")), "nearby")
-    further = least.select(F.col("cls").alias("label"), F.col("label").alias("further"))
-    return least.join(further, "label", "left").select("cls", F.coalesce("further", "label").alias("label"))
-
-
 def _components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with another class."""
     bands = classes.select("cls", "n", F.explode("bands").alias("x")).select("cls", "n", "x.*")
@@ -322,7 +340,7 @@ def _components(texts: DataFrame, classes: DataFrame) -> DataFrame:
         new = stage(_linked(stage(pairs, "pairs"), sets), "links")
         links = new if links is None else links.unionByName(new)
         if turn < STAR_ROUNDS:
-            known = _nearby(links)
+            known = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
             labelled = stage(rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     return connected_components(links)
 
