@@ -104,15 +104,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(windows, "conv_id")
 
 
-def _rate(rule: str) -> str:
-    """DuckDB: the shrunk failure rate of a rule, from hosts, totals and spreads."""
+def _surely(rule: str) -> str:
+    """DuckDB: whether a host's failure rate of a rule surely exceeds the limits, from hosts, totals and spreads."""
     chance = f"({rule}_mean * (1 - {rule}_mean))"
-    alike = (
-        f"({rule}_spread - {chance} * (k - 1)) / nullif({chance} * (n - nn / n - (k - 1)), 0)"
-    )
+    alike = f"({rule}_spread - {chance} * (k - 1)) / nullif({chance} * (n - nn / n - (k - 1)), 0)"
     alike = f"least(greatest(coalesce({alike}, 0), 1e-6), 1 - 1e-6)"
     strength = f"((1 - {alike}) / {alike})"
-    return f"({rule}_failed + {rule}_mean * {strength}) / (n_docs + {strength})"
+    rate = f"(({rule}_failed + {rule}_mean * {strength}) / (n_docs + {strength}))"
+    return f"{rate} - 1.645 * sqrt({rate} * (1 - {rate}) / (n_docs + {strength} + 1)) > greatest(0.3, 1.5 * {rule}_mean)"
 
 
 _RULE_SQL = {
@@ -153,7 +152,7 @@ spreads as (
   select {", ".join(f"sum(n_docs * pow({r}_failed / n_docs - {r}_mean, 2)) as {r}_spread" for r in _RULE_SQL)}
   from hosts, totals),
 verdicts as (
-  select source, {" or ".join(f"{_rate(r)} > 0.8" for r in _RULE_SQL)} as host_failed
+  select source, {" or ".join(_surely(r) for r in _RULE_SQL)} as host_failed
   from hosts, totals, spreads)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,

@@ -3,8 +3,10 @@
 A document fails on its own when it is too short or repeats itself. A host is
 judged by how often each rule fails over all its documents: the rate is shrunk
 towards the rate of all hosts by a beta prior that is fitted to the hosts
-themselves, so that a host with few documents is not judged by chance. Documents
-of a host whose shrunk rate passes the limit are not kept.
+themselves, so that a host with few documents is not judged by chance. A host is
+rejected where its posterior leaves little doubt (one in twenty, by the normal
+approximation) that its rate exceeds both a stated share and a multiple of the
+common rate. Documents of a rejected host are not kept.
 
 Everything is built-in column functions. The measures are one row of a few
 numbers per document and are written once; hosts are then one aggregate with
@@ -28,8 +30,10 @@ MAX_REPEATED = 50
 MAX_DUP_LINES = 50
 #: Symbols allowed per hundred words.
 MAX_SYMBOLS = 100
-#: A host whose shrunk failure rate of a rule is above this loses its documents.
-MAX_HOST_RATE = 0.8
+#: A host is rejected if its failure rate of a rule surely exceeds this share, and so many times the common rate.
+HOST_SHARE, TIMES_COMMON = 0.3, 1.5
+#: Standard deviations of the posterior that its mean must lie above the limit: one chance in twenty.
+DEVIATIONS = 1.645
 SYMBOLS = "[#*$%&|<>]"
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -110,7 +114,9 @@ def rule_failures() -> dict[str, Column]:
 
 
 def host_rates(measures: DataFrame) -> DataFrame:
-    """One row per host: documents and, per rule, failures and shrunk rate. Rows without a host form none.
+    """One row per host: documents and, per rule, failures, shrunk rate, its lower bound and the common rate.
+
+    Rows without a host form none.
 
     The beta prior of a rule comes from moments weighted by the hosts' sizes (Kleinman 1973): from the spread
     of the hosts' rates beyond what chance alone gives. Where there is no such spread the prior is as strong
@@ -135,7 +141,13 @@ def host_rates(measures: DataFrame) -> DataFrame:
         ).alias(f"{r}_rate")
         for r in RULES
     ]
-    return hosts.withColumn("p_", prior.scalar()).select(*hosts.columns, *shrunk)
+    rates = hosts.withColumn("p_", prior.scalar()).select(*hosts.columns, "p_", *shrunk)
+    lows = []
+    for r in RULES:
+        rate = F.col(f"{r}_rate")
+        spread = F.sqrt(rate * (1 - rate) / (n + F.col(f"p_.{r}_strength") + 1))
+        lows += [(rate - DEVIATIONS * spread).alias(f"{r}_low"), F.col(f"p_.{r}_mean").alias(f"{r}_common")]
+    return rates.select("*", *lows).drop("p_")
 
 
 def _strength(rule: str) -> Column:
@@ -148,16 +160,18 @@ def _strength(rule: str) -> Column:
     return (1 - alike) / alike
 
 
-def host_verdicts(measures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(measures: DataFrame, share: float = HOST_SHARE) -> DataFrame:
     """Each host with its rates, whether it is rejected, and the rules it failed."""
-    failed = F.filter(
-        F.array(*[F.when(F.col(f"{r}_rate") > max_rate, F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
-    )
+
+    def surely(rule: str) -> Column:
+        return F.col(f"{rule}_low") > F.greatest(F.lit(share), TIMES_COMMON * F.col(f"{rule}_common"))
+
+    failed = F.filter(F.array(*[F.when(surely(r), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     return host_rates(measures).withColumn("host_failed_rules", failed).withColumn("host_failed", F.size(failed) > 0)
 
 
 def apply_rules(
-    df: DataFrame, id_col: str, text_col: str, host_col: str, max_rate: float = MAX_HOST_RATE
+    df: DataFrame, id_col: str, text_col: str, host_col: str, share: float = HOST_SHARE
 ) -> DataFrame:
     """One row per row of ``df``: id, host, measures, base_failed, host_failed and kept.
 
@@ -166,7 +180,7 @@ def apply_rules(
     """
     measures = stage(document_measures(df, id_col, text_col, host_col), "measures")
     failures = rule_failures()
-    verdicts = host_verdicts(measures, max_rate).select(F.col("host_").alias("judged_"), "host_failed")
+    verdicts = host_verdicts(measures, share).select(F.col("host_").alias("judged_"), "host_failed")
     joined = measures.join(verdicts, F.col("host_") == F.col("judged_"), "left")
     base = failures["short"] | failures["repetitive"]
     return joined.select(
@@ -180,7 +194,7 @@ def apply_rules(
 
 
 def keep_documents(
-    df: DataFrame, id_col: str, text_col: str, host_col: str, max_rate: float = MAX_HOST_RATE
+    df: DataFrame, id_col: str, text_col: str, host_col: str, share: float = HOST_SHARE
 ) -> DataFrame:
     """The rows of ``df`` that ``apply_rules`` keeps, with all their columns.
 
@@ -188,7 +202,7 @@ def keep_documents(
     measures by a shuffle; only hosts that are rejected are joined.
     """
     measures = stage(document_measures(df, id_col, text_col, host_col), "measures")
-    rejected = stage(host_verdicts(measures, max_rate).filter("host_failed").select(F.col("host_").alias("rejected_")), "rejected")
+    rejected = stage(host_verdicts(measures, share).filter("host_failed").select(F.col("host_").alias("rejected_")), "rejected")
     failures = rule_failures()
     own = document_measures(df, id_col, text_col, host_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
     # The row number keeps the filter above the measures; pushed below, it would measure anew for every rule.

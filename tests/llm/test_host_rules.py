@@ -44,6 +44,22 @@ def test_hosts_that_fail_lose_their_documents(spark):
     assert kept == {i for i, r in rows.items() if r.kept}
 
 
+def test_hosts_that_fail_in_part(spark):
+    """Hosts of 40 to 80 per cent are rejected among twenty good ones; few documents or a lower rate are no proof."""
+    good, bad = prose(1, 60), "too short"
+    lined = prose(2, 60) + "\n" + "same line again\n" * 9
+    rows, planted = [], {"h40": (40, bad), "h60": (60, bad), "h80": (80, bad), "lines": (50, lined), "h15": (15, bad)}
+    for k in range(20):
+        rows += [(len(rows) + i, bad if i % 16 == 0 else good, f"good{k}") for i in range(100)]
+    for host, (failing, text) in planted.items():
+        rows += [(len(rows) + i, text if i < failing else good, host) for i in range(100)]
+    rows += [(len(rows) + i, bad if i < 2 else good, "few") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    measures = host_rules.document_measures(df, "doc_id", "text", "source")
+    failed = {r.host_: r.host_failed_rules for r in host_rules.host_verdicts(measures).collect() if r.host_failed}
+    assert failed == {"h40": ["short"], "h60": ["short"], "h80": ["short"], "lines": ["dup_lines"]}
+
+
 def test_rates_are_shrunk_towards_the_common_rate(spark):
     measures = host_rules.document_measures(hosts(spark), "doc_id", "text", "source")
     rates = {r.host_: r.short_rate for r in host_rules.host_rates(measures).collect()}
