@@ -5,7 +5,9 @@ most ``open_bins`` sequences open, found by a bitset over free space: the
 smallest free space that still takes a piece is one shift and one lowest-bit
 lookup. When a piece fits nowhere and no further sequence may be opened, the
 fullest open one is closed. Memory depends on ``open_bins`` and the batch, not
-on the input, and nothing is shuffled.
+on the input, and nothing is shuffled. What tasks leave open at their ends is not
+packed together; so that this stays a small share, small partitions are read
+together, ``TASK_BYTES`` of text or more in a task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from kadence.llm.shipping import ship
 
 MAX_TOKENS = 2048
 OPEN_BINS = 1024
+#: Least text of a task on average, where the table has as much.
+TASK_BYTES = 16 << 20
 #: Sequences are numbered within the task that fills them.
 _TASK_BITS = 40
 #: Fixed: how byte-level vocabularies of this kind split text before the merges.
@@ -150,6 +154,8 @@ def pack(
         .add("offset", LongType())
     )
     end = np.asarray([end_id], "<u4").tobytes()
+    size = source.agg(F.sum(F.octet_length("text_in_"))).first()[0] or 0
+    source = source.coalesce(max(1, size // TASK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_ids(tokenizer_path)

@@ -5,7 +5,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from kadence.llm import packing
-from tests.llm.samples import TEXTS, awkward, empty
+from tests.llm.samples import TEXTS, awkward, empty, prose
 
 VOCABULARY = P.path("byte_bpe_50k.json")
 
@@ -72,5 +72,24 @@ def test_sequences_have_no_gaps(spark):
     assert len(rows) == sum(len(packing.cut(len(whole.encode(t or "").ids) + 1, 512)) for _, t in TEXTS)
 
 
+def test_small_partitions_are_packed_together(spark):
+    draw = random.Random(3)
+    rows = [(i, prose(i, draw.choice([20, 60, 200, 900]))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+    packed = packing.pack(df, "doc_id", "text", VOCABULARY).drop("ids").collect()
+    bound = -(-sum(r.length for r in packed) // packing.MAX_TOKENS)
+    assert len({r.sequence_id for r in packed}) <= 1.02 * bound + 1
+
+
+def test_long_runs(spark):
+    whole = Tokenizer.from_file(VOCABULARY)
+    texts = [" " * 3_000_000, "\n" * 1_000_000 + "end", "é" + "\t" * 1_000_000, "日" + " " * 500_000]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", VOCABULARY).collect()
+    for i, text in enumerate(texts):
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in pieces]).tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_empty_table(spark):
     assert packing.pack(empty(spark), "doc_id", "text", VOCABULARY).count() == 0
