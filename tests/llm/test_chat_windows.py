@@ -81,6 +81,12 @@ def test_windows_keep_to_the_budget(spark):
     assert sum(len(r.loss) for r in rows if r.conv_id == 1) == sum(r[0] == 1 and r[2] == "assistant" for r in ROWS)
 
 
+def test_long_runs(spark):
+    rows = [(1, k, "assistant", c * 2_000_000 + e) for k, (c, e) in enumerate([(" ", ""), ("\n", "x"), ("\t", " y"), ("a", ""), ("7", "")])]
+    back = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in cw.read_back(windows_of(spark, rows), "conv_id").collect()}
+    assert back == brute(rows)
+
+
 def test_empty_table(spark):
     windows = windows_of(spark, [])
     assert windows.count() == 0 and cw.read_back(windows, "conv_id").count() == 0

@@ -154,3 +154,11 @@ def test_awkward_and_empty(spark):
     assert sorted(str(r.text) for r in pii.redact(df, "text").collect())[:1] == ["", ]
     assert pii.digest(empty(spark), "doc_id", "text").count() == 0
     assert pii.redact(empty(spark), "text").count() == 0
+
+
+def test_long_numbers_and_runs(spark):
+    texts = ["1.2.3." + "5" * 6000, "0001.2.03." + "0" * 5000 + "9 x", "7" * 5_000_000, " " * 5_000_000, "\n" * 5_000_000 + "a@b.cd", "1.2.3.256"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.digest(df, "doc_id", "text").collect()}
+    assert [rows[i].n_ip for i in range(6)] == [0, 1, 0, 0, 0, 0] and rows[4].n_email == 1
+    assert pii.redact(df, "text").count() == len(texts)
