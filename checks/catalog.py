@@ -858,7 +858,7 @@ def r5_evidence(spark, sf):
 def _scores(spark, sf, **options) -> DataFrame:
     model = order_compiled(spark, sf)
     scores = P.class_log_scores(shifted(spark, sf, model), model, **options)
-    return P.by_class(scores, model, "score", "log_score").select("row_id", "class", rounded("log_score"))
+    return P.by_class(scores, model, "scores", "log_score").select("row_id", "class", rounded("log_score"))
 
 
 SCORE_BODY = f"select row_id, class, {sql_rounded('log_score')} from scores"
@@ -890,7 +890,7 @@ def _scores_by_customer(spark, sf, plan: str) -> DataFrame:
     customers = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     rows = P.scoring_rows(X.shifted_rows(spark, sf).join(customers, "o_orderkey"), model.net, "o_custkey")
     scores = P.class_log_scores(rows, model, plan=plan)
-    return P.by_class(scores, model, "score", "log_score").select("row_id", "class", rounded("log_score"))
+    return P.by_class(scores, model, "scores", "log_score").select("row_id", "class", rounded("log_score"))
 
 
 @query("r6_repeated_ids_rowwise", REPEATED_SQL)
@@ -903,6 +903,29 @@ def r6_repeated_evidence(spark, sf):
     return _scores_by_customer(spark, sf, "evidence")
 
 
+@query(
+    "r6_many_classes",
+    O.with_ctes(
+        O.score_ctes(X.BUYERS, X.BUYER_PARENTS, X.CUSTOMERS_SQL),
+        f"""select row_id, arg_min(class, (-round(prob, 12), class)) as predicted_class, {sql_rounded('max(prob)', 'predicted_prob')},
+                   count(*) as n_classes, {sql_rounded('sum(prob * prob)', 'squared')}
+            from probs group by row_id""",
+    ),
+)
+def r6_many_classes(spark, sf):
+    """Every customer scored by a model whose classes are the customers with orders."""
+    ts = training.encode_categories(X.buyer_rows(spark, sf), X.BUYERS.label)
+    sizes = C.domain_sizes(C.attr_class_counts(ts))
+    structure = T.structure_from_parents(sizes, C.class_counts(ts).count(), ts.names, ts.label, ts.label_num, X.BUYER_PARENTS)
+    model = kd.learn_parameters(X.buyer_rows(spark, sf), structure)
+    customers = X.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    out = kd.predict_classes(customers, model, structure, id_col="c_custkey", plan="evidence")
+    probs = F.map_values("class_probs")
+    squared = F.aggregate(probs, F.lit(0.0), lambda a, p: a + p * p).alias("squared")
+    found = out.select("row_id", "predicted_class", rounded("predicted_prob"), F.size(probs).cast("bigint").alias("n_classes"), squared)
+    return found.withColumn("squared", rounded("squared"))
+
+
 @query("r7_normalise_log_scores", O.with_ctes(O.score_ctes(X.ORDERS, X.ORDER_PARENTS, X.SHIFTED_SQL), PROB_BODY))
 def r7(spark, sf):
     return _proba(spark, sf)

@@ -190,6 +190,26 @@ SHIFTED_SQL = """
       from orders join customer on o_custkey = c_custkey"""
 
 
+# --- F7: a label with a class per customer -----------------------------------
+
+BUYER_PARENTS = {"c_mktsegment": [], "c_nationkey": ["c_mktsegment"]}
+
+
+def buyer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).select("c_mktsegment", "c_nationkey", "o_custkey")
+
+
+BUYERS = Fixture(
+    """
+      select c_mktsegment, cast(c_nationkey as varchar) as c_nationkey, cast(o_custkey as varchar) as y, o_orderkey as row_id
+      from orders join customer on o_custkey = c_custkey""",
+    {"c_mktsegment": 0, "c_nationkey": 1},
+    "o_custkey",
+    2,
+)
+CUSTOMERS_SQL = "select c_mktsegment, cast(c_nationkey as varchar) as c_nationkey, c_custkey as row_id from customer"
+
+
 # --- F6: a star whose dimension lacks many keys ------------------------------
 
 

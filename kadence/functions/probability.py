@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,13 +18,9 @@ def log_m_estimate(n: Column, total: Column, values: Column | float) -> Column:
     return F.log(F.greatest(m_estimate(n, total, values), F.lit(PROB_FLOOR)))
 
 
-def _greatest(cols: Sequence[Column]) -> Column:
-    return cols[0] if len(cols) == 1 else F.greatest(*cols)
-
-
-def normalise_logs(scores: Sequence[Column]) -> list[Column]:
-    """Per-row softmax over one score column per class, shifted by the maximum."""
-    peak = _greatest(scores)
-    weights = [F.exp(s - peak) for s in scores]
-    mass = reduce(lambda a, b: a + b, weights)
-    return [w / mass for w in weights]
+def normalise_vector(scores: Column) -> Column:
+    """Softmax of an array of scores, shifted by the maximum."""
+    peak = F.array_max(scores)
+    weights = F.transform(scores, lambda s: F.exp(s - peak))
+    mass = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(weights, lambda w: w / mass)

@@ -1,12 +1,18 @@
-"""A model table in the shape scoring reads: one row per cell, classes as vectors."""
+"""A model table in the shapes scoring reads: a row per cell, and cells nested by value, classes as vectors.
+
+A nested row answers every level of a value at once: it holds the value's own cell and those of the parent
+paths whose first parent falls into its bucket. An attribute has as many buckets as its cells ask for, so a
+row holds few paths, and a line of evidence knows its row from its own values.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kadence.conventions import parent_columns
 from kadence.functions.probability import log_m_estimate
 from kadence.operators.network import Network
 from kadence.operators.params import cell_columns, path_columns
@@ -18,6 +24,15 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 
 SLICE = ["level", "attr_num"]
 
+# Paths that a nested row holds on average.
+PATHS_PER_ROW = 16
+
+# Classes that are written into a plan; more are read from the model.
+LITERAL_CLASSES = 64
+
+# Memory of a cell or path besides its text and its vectors.
+ENTRY_BYTES = 96
+
 
 @dataclass(frozen=True)
 class CompiledModel:
@@ -27,33 +42,114 @@ class CompiledModel:
     ``parents_count`` and ``log_prob``, and ``support`` (rows over all classes).
     ``paths``: level, attr_num, parents and ``zero_log_prob``, the vector of a
     value that was never seen under that path. Both are partitioned by level and
-    attribute, so a lookup reads its own slice only.
+    attribute. ``nested`` and ``nested_paths`` hold the same by attribute, value and
+    bucket: ``path``, an array of parent paths, the empty one first, and an array
+    of each vector beside it. ``class_table`` is one row: all classes, their counts.
     """
 
     net: Network
     cells: DataFrame
     paths: DataFrame
+    nested: DataFrame
+    nested_paths: DataFrame
+    class_table: DataFrame
     classes: tuple[str, ...]
     class_counts: tuple[int, ...]
-    cell_rows: dict[int, int]
-    path_rows: dict[int, int]
+    #: (attribute, level) -> rows and bytes of text of the cells, and of the paths.
+    cell_sizes: dict[tuple[int, int], tuple[int, int]]
+    path_sizes: dict[tuple[int, int], tuple[int, int]]
 
     @property
     def k(self) -> int:
         return self.net.k
 
-    def row_bytes(self, vectors: int = 1) -> int:
-        """Rough memory of one lookup row with that many class vectors."""
-        return 96 + 24 * (self.k + 1) + 8 * len(self.classes) * vectors
+    @property
+    def cell_rows(self) -> dict[int, int]:
+        return _by_level(self.cell_sizes)
+
+    @property
+    def path_rows(self) -> dict[int, int]:
+        return _by_level(self.path_sizes)
+
+    def class_names(self) -> Column:
+        """All classes in order, as an array."""
+        if len(self.classes) <= LITERAL_CLASSES:
+            return F.array(*[F.lit(c) for c in self.classes]).cast("array<string>")
+        return self.class_table.select("classes").scalar()
+
+    def class_totals(self) -> Column:
+        """The classes' counts, in the same order."""
+        if len(self.classes) <= LITERAL_CLASSES:
+            return F.array(*[F.lit(n) for n in self.class_counts]).cast("array<bigint>")
+        return self.class_table.select("counts").scalar()
+
+    def nested_bytes(self, vectors: int = 1) -> int:
+        """Measured text and the vectors of all nested cells, each value's own cell once per bucket."""
+        buckets = cell_buckets(self.cell_sizes)
+        return sum(
+            (text + rows * (ENTRY_BYTES + 8 * len(self.classes) * vectors)) * (1 if level else buckets[num])
+            for (num, level), (rows, text) in self.cell_sizes.items()
+        )
+
+    def path_bytes(self) -> int:
+        each = ENTRY_BYTES + 8 * len(self.classes)
+        return sum(text + rows * each for (_, level), (rows, text) in self.path_sizes.items() if level)
+
+
+def _by_level(sizes: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
+    rows: dict[int, int] = {}
+    for (_, level), (n, _) in sizes.items():
+        rows[level] = rows.get(level, 0) + n
+    return rows
+
+
+def cell_buckets(sizes: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
+    """Buckets of each attribute's values: so many that a nested row holds ``PATHS_PER_ROW`` paths on average."""
+    deep, values = _deep(sizes), {num: n for (num, level), (n, _) in sizes.items() if level == 0}
+    return {num: max(1, -(-deep.get(num, 0) // (PATHS_PER_ROW * n))) for num, n in values.items()}
+
+
+def path_buckets(sizes: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
+    return {num: max(1, -(-n // PATHS_PER_ROW)) for num, n in _deep(sizes).items()}
+
+
+def _deep(sizes: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
+    deep: dict[int, int] = {}
+    for (num, level), (n, _) in sizes.items():
+        if level:
+            deep[num] = deep.get(num, 0) + n
+    return deep
+
+
+def bucket_count(buckets: dict[int, int], num: Column) -> Column:
+    width = max(buckets, default=0) + 1
+    return F.get(F.array(*[F.lit(buckets.get(i, 1)) for i in range(width)]), num)
+
+
+def bucket_of(count: Column, k: int) -> Column:
+    """A line's bucket by its first parent; the first one without a parent."""
+    if not k:
+        return F.lit(0)
+    return F.when(F.col("parent1").isNotNull(), F.pmod(F.xxhash64("parent1"), count)).otherwise(F.lit(0)).cast("int")
+
+
+def path_of(k: int, level: int | None = None) -> Column:
+    """The bound parents as an array: all up to ``level``, or those that are not null."""
+    if level is not None:
+        return F.array(*[F.col(c) for c in parent_columns(level)]).cast("array<string>")
+    return F.filter(F.array(*[F.col(c) for c in parent_columns(k)]).cast("array<string>"), lambda p: p.isNotNull())
+
 
-    def fits(self, rows: int, limit: int, vectors: int = 1) -> bool:
-        return rows * self.row_bytes(vectors) <= limit
+def _nest(rows: DataFrame, keys: list[str], k: int, vectors: list[str]) -> DataFrame:
+    entries = F.array_sort(F.collect_list(F.struct(path_of(k).alias("path"), *vectors)))
+    nested = rows.groupBy(*keys).agg(entries.alias("entries"))
+    return nested.select(*keys, *[F.col(f"entries.{c}").alias(c) for c in ("path", *vectors)])
 
 
-def _class_vectors(df: DataFrame, keys: list[str], columns: list[str], classes: list[str]) -> DataFrame:
+def _class_vectors(df: DataFrame, keys: list[str], columns: list[str], classes: Column) -> DataFrame:
     """The rows of each key as vectors in the order of ``classes``; a key without a row for each is an error."""
     entries = F.array_sort(F.collect_list(F.struct("class", *columns)))
-    whole = F.col("entries.class") == F.array(*[F.lit(c) for c in classes]).cast("array<string>")
+    whole = F.col("entries.class") == classes
     message = F.lit("a model cell has no row for some class; fill the model before compiling it")
     vectors = [F.when(whole, F.col(f"entries.{c}")).otherwise(F.raise_error(message)).alias(c) for c in columns]
     return df.groupBy(*keys).agg(entries.alias("entries")).select(*keys, *vectors)
@@ -62,50 +158,73 @@ def _class_vectors(df: DataFrame, keys: list[str], columns: list[str], classes:
 def compile_model(model: DataFrame, structure: DataFrame, path: str | None = None) -> CompiledModel:
     """Turn a model table into staged lookup tables, written once.
 
-    The class list, the class counts and the number of lookup rows per level
-    come back to the driver: their size depends on classes and k only.
+    The class list, the class counts and the size of each attribute's levels
+    come back to the driver: they depend on classes, attributes and k only.
     """
     net = Network.from_structure(structure)
     k = net.k
+    at = lambda name: f"{path}/{name}" if path else None
     n, total, values = F.col("n"), F.col("parents_count"), F.col("num_values")
     rows = model.filter(F.col("attr_name").isNotNull()).withColumn("log_prob", log_m_estimate(n, total, values))
-    priors = sorted((r["class"], r["n"]) for r in model.filter(F.col("attr_name").isNull()).select("class", "n").collect())
+    priors = F.array_sort(F.collect_list(F.struct("class", "n")))
+    class_table = model.filter(F.col("attr_name").isNull()).agg(priors.alias("priors"))
+    class_table = class_table.select(F.col("priors.class").alias("classes"), F.col("priors.n").alias("counts"))
+    class_table = stage(class_table, "class_table", at("class_table"))
     support = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    cells = _class_vectors(rows, [*cell_columns(k), "num_values"], ["n", "parents_count", "log_prob"], [c for c, _ in priors])
-    cells = stage(cells.withColumn("support", support), "cells", f"{path}/cells" if path else None, SLICE, rebalance=True)
+    vectors = ["n", "parents_count", "log_prob"]
+    cells = _class_vectors(rows, [*cell_columns(k), "num_values"], vectors, class_table.select("classes").scalar())
+    cells = stage(cells.withColumn("support", support), "cells", at("cells"), SLICE, rebalance=True)
     zero = F.transform("parents_count", lambda t: log_m_estimate(F.lit(0), t, F.col("num_values")))
     paths = (
         cells.groupBy(*path_columns(k), "num_values")
         .agg(F.any_value("parents_count").alias("parents_count"))
         .select(*path_columns(k), zero.alias("zero_log_prob"))
     )
-    paths = stage(paths, "paths", f"{path}/paths" if path else None, SLICE, rebalance=True)
+    paths = stage(paths, "paths", at("paths"), SLICE, rebalance=True)
+    sizes = _sizes(cells, k), _sizes(paths, k)
+
+    num = F.col("attr_num")
+    count = bucket_count(cell_buckets(sizes[0]), num)
+    places = F.when(F.col("level") == 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array(bucket_of(count, k)))
+    placed = cells.withColumn("bucket", F.explode(places))
+    nested = _nest(placed, ["attr_num", "attr_value", "bucket"], k, ["log_prob", "n", "parents_count", "support"])
+    nested = stage(nested, "nested", at("nested"), ["attr_num"], rebalance=True)
+    deep = paths.filter("level > 0").withColumn("bucket", bucket_of(bucket_count(path_buckets(sizes[1]), num), k))
+    nested_paths = stage(_nest(deep, ["attr_num", "bucket"], k, ["zero_log_prob"]), "nested_paths", at("nested_paths"), ["attr_num"], rebalance=True)
     if path:
-        stage(structure.coalesce(1), "structure", f"{path}/structure")
-        counts = model.filter(F.col("attr_name").isNull()).select("class", "n")
-        stage(counts.coalesce(1), "classes", f"{path}/classes")
-    return _compiled(net, cells, paths, priors)
+        stage(structure.coalesce(1), "structure", at("structure"))
+    return _compiled(net, cells, paths, nested, nested_paths, class_table, *sizes)
 
 
 def load_compiled(spark: SparkSession, path: str) -> CompiledModel:
     """A model that ``compile_model`` wrote to ``path``, without compiling it again."""
     net = Network.from_structure(spark.read.parquet(f"{path}/structure"))
-    cells, paths = (spark.read.parquet(f"{path}/{t}") for t in ("cells", "paths"))
-    priors = sorted((r["class"], r["n"]) for r in spark.read.parquet(f"{path}/classes").collect())
-    return _compiled(net, cells, paths, priors)
+    tables = [spark.read.parquet(f"{path}/{t}") for t in ("cells", "paths", "nested", "class_table")]
+    # Without parents there are no paths, so no files to read a schema from.
+    ddl = "bucket int, path array<array<string>>, zero_log_prob array<array<double>>, attr_num int"
+    tables.insert(3, spark.read.schema(ddl).parquet(f"{path}/nested_paths"))
+    return _compiled(net, *tables, _sizes(tables[0], net.k), _sizes(tables[1], net.k))
 
 
-def _compiled(net: Network, cells: DataFrame, paths: DataFrame, priors: list[tuple[str, int]]) -> CompiledModel:
+def _compiled(net: Network, cells, paths, nested, nested_paths, class_table: DataFrame, cell_sizes, path_sizes) -> CompiledModel:
+    known = class_table.first()
     return CompiledModel(
         net=net,
         cells=cells,
         paths=paths,
-        classes=tuple(c for c, _ in priors),
-        class_counts=tuple(n for _, n in priors),
-        cell_rows=_rows_per_level(cells),
-        path_rows=_rows_per_level(paths),
+        nested=nested,
+        nested_paths=nested_paths,
+        class_table=class_table,
+        classes=tuple(known.classes),
+        class_counts=tuple(known.counts),
+        cell_sizes=cell_sizes,
+        path_sizes=path_sizes,
     )
 
 
-def _rows_per_level(table: DataFrame) -> dict[int, int]:
-    return {r["level"]: r["count"] for r in table.groupBy("level").count().collect()}
+def _sizes(table: DataFrame, k: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(attribute, level) -> rows, bytes of the values and parents."""
+    columns = [c for c in ("attr_value", *parent_columns(k)) if c in table.columns]
+    text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    sizes = table.groupBy("attr_num", "level").agg(F.count(F.lit(1)).alias("rows"), F.sum(text).alias("text"))
+    return {(r.attr_num, r.level): (r.rows, r.text) for r in sizes.collect()}

@@ -9,26 +9,24 @@ from kadence.conventions import parent_columns
 from kadence.functions.probability import m_estimate
 from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel
 from kadence.operators.params import num_values_of, path_columns
-from kadence.operators.predict import ROW_ID, ROW_KEY, match_with_backoff, rows_to_evidence
+from kadence.operators.predict import ROW_ID, ROW_KEY, chunk_rows, match_with_backoff, rows_to_evidence
 
 
-def _own(label: str, cls: str) -> Column:
-    """One for the row's own class, which is left out of the counts, else zero."""
-    return (F.col(label) == F.lit(cls)).cast("bigint")
+# Sums of one aggregate: classes times the values of k.
+LOOCV_SUMS = 64
 
 
-def _left_out_prior(label: str, model: CompiledModel, i: int) -> Column:
-    n, total = model.class_counts[i], float(sum(model.class_counts))
-    return m_estimate(F.lit(n) - _own(label, model.classes[i]), F.lit(total - 1.0), float(len(model.classes)))
+def _left_out_prior(own: Column, n: Column, model: CompiledModel) -> Column:
+    """P(class) from the counts without the row; ``own`` is one for the row's own class."""
+    return m_estimate(n - own, F.lit(float(sum(model.class_counts)) - 1.0), float(len(model.classes)))
 
 
 def loocv_class_prior(rows: DataFrame, model: CompiledModel, label: str) -> DataFrame:
     """P(class) without the row itself, for every row and class."""
-    entries = [
-        F.struct(F.lit(c).alias("class"), _left_out_prior(label, model, i).alias("prob"))
-        for i, c in enumerate(model.classes)
-    ]
-    return rows.select(ROW_ID, label, F.explode(F.array(*entries)).alias("e")).select(ROW_ID, label, "e.*")
+    entries = F.arrays_zip(model.class_names().alias("class"), model.class_totals().alias("n"))
+    each = rows.select(ROW_ID, label, F.explode(entries).alias("e"))
+    own = F.coalesce((F.col(label) == F.col("e.class")).cast("bigint"), F.lit(0))
+    return each.select(ROW_ID, label, F.col("e.class").alias("class"), _left_out_prior(own, F.col("e.n"), model).alias("prob"))
 
 
 def loocv_scores(
@@ -49,46 +47,51 @@ def loocv_scores(
     may repeat. An attribute whose value the model does not know gives no term; a
     known value that was never counted with the row's class is an error.
     """
-    net, k = model.net, model.k
+    net, k, classes = model.net, model.k, len(model.classes)
     rows = rows.filter(F.col(label).isNotNull()).withColumn(ROW_KEY, F.monotonically_increasing_id())
     evidence = rows_to_evidence(rows, net, [ROW_KEY, label], drop_null=False)
     lines = match_with_backoff(evidence, model, ["n", "parents_count", "support"], limit)
+    # The chain of levels, and with it the counts that each k uses.
+    used = {"n": [F.col("n_0")], "t": [F.col("parents_count_0")]}
+    chain = F.lit(True)
+    for i in range(1, k + 1):
+        chain = chain & F.coalesce(F.col(f"support_{i}") >= 2, F.lit(False))
+        used["n"].append(F.when(chain, F.col(f"n_{i}")).otherwise(used["n"][-1]))
+        used["t"].append(F.when(chain, F.col(f"parents_count_{i}")).otherwise(used["t"][-1]))
+    names = [f"{c}_used_{i}" for i in range(k + 1) for c in ("n", "t")]
     lines = lines.select(
         ROW_KEY,
         ROW_ID,
         label,
+        F.array_position(model.class_names(), F.col(label)).alias("own"),
         num_values_of(net, F.col("attr_num")).alias("values"),
-        F.lit(True).alias("chain_0"),
-        F.col("n_0").alias("use_n_0"),
-        F.col("parents_count_0").alias("use_t_0"),
-        *[F.col(f"{c}_{i}") for i in range(1, k + 1) for c in ("n", "parents_count", "support")],
+        *[used[c][i].alias(f"{c}_used_{i}") for i in range(k + 1) for c in ("n", "t")],
+        *([model.class_totals().alias("class_n")] if joint else []),
     )
-    for i in range(1, k + 1):
-        lines = lines.withColumn(f"chain_{i}", F.col(f"chain_{i - 1}") & F.coalesce(F.col(f"support_{i}") >= 2, F.lit(False)))
-        lines = lines.withColumns(
-            {
-                f"use_n_{i}": F.when(F.col(f"chain_{i}"), F.col(f"n_{i}")).otherwise(F.col(f"use_n_{i - 1}")),
-                f"use_t_{i}": F.when(F.col(f"chain_{i}"), F.col(f"parents_count_{i}")).otherwise(F.col(f"use_t_{i - 1}")),
-            }
-        )
+    width = max(1, LOOCV_SUMS // (k + 1))
+    lines = chunk_rows(lines, [*names, *(["class_n"] if joint else [])], classes, width)
+    width = min(width, classes)
     sums = []
     for i in range(k + 1):
-        for c, cls in enumerate(model.classes):
-            own = _own(label, cls)
-            total = F.lit(model.class_counts[c]) if joint else F.col(f"use_t_{i}")[c]
-            estimate = m_estimate(F.col(f"use_n_{i}")[c] - own, total - own, F.col("values"))
-            never = F.raise_error(F.lit("a left-out row was never counted by this model")).cast("double")
-            term = F.when(F.col(f"use_n_{i}").isNull(), F.lit(0.0)).when(estimate > 0, F.log(estimate)).otherwise(never)
-            sums.append(F.sum(term).alias(f"s_{i}_{c}"))
-    totals = lines.groupBy(ROW_KEY).agg(*[F.any_value(F.col(c)).alias(c) for c in (ROW_ID, label)], *sums)
-    entries = []
-    for i in range(k + 1):
-        for c, cls in enumerate(model.classes):
-            score = F.col(f"s_{i}_{c}")
-            if include_prior:
-                score = score + F.log(_left_out_prior(label, model, c))
-            entries.append(F.struct(F.lit(i).alias("k"), F.lit(cls).alias("class"), score.alias("log_score")))
-    return totals.select(ROW_ID, label, F.explode(F.array(*entries)).alias("e")).select(ROW_ID, label, "e.*")
+        for c in range(width):
+            own = (F.col("own") == F.col("chunk") * width + (c + 1)).cast("bigint")
+            n, total = F.get(f"n_used_{i}", F.lit(c)), F.get("class_n" if joint else f"t_used_{i}", F.lit(c))
+            # The logarithm of what is not positive is null; it must not vanish in a sum.
+            term = F.coalesce(F.log(m_estimate(n - own, total - own, F.col("values"))), F.lit(float("nan")))
+            sums.append(F.sum(F.when(n.isNull(), F.lit(0.0)).otherwise(term)).alias(f"s_{i}_{c}"))
+    totals = lines.groupBy(ROW_KEY, ROW_ID, label, "own", "chunk").agg(*sums)
+    totals = totals.withColumns({"names": model.class_names(), "counts": model.class_totals()})
+    at = F.col("chunk") * width
+    entries = [
+        F.struct(F.lit(i).alias("k"), (at + c).alias("at"), F.col(f"s_{i}_{c}").alias("sum")) for i in range(k + 1) for c in range(width)
+    ]
+    each = totals.select(ROW_ID, label, "own", "names", "counts", F.explode(F.array(*entries)).alias("e")).filter(F.col("e.at") < classes)
+    never = F.raise_error(F.lit("a left-out row was never counted by this model")).cast("double")
+    score = F.when(F.isnan("e.sum"), never).otherwise(F.col("e.sum"))
+    if include_prior:
+        own = (F.col("own") == F.col("e.at") + 1).cast("bigint")
+        score = score + F.log(_left_out_prior(own, F.get("counts", F.col("e.at")), model))
+    return each.select(ROW_ID, label, F.col("e.k").alias("k"), F.get("names", F.col("e.at")).alias("class"), score.alias("log_score"))
 
 
 def prune_structure(structure: DataFrame, best_attrs: int, best_k: int) -> DataFrame:

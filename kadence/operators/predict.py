@@ -1,14 +1,15 @@
 """Scoring rows with a compiled model.
 
-Two physical plans with the same result:
-
-* ``rowwise`` - every attribute looks its cell up in one broadcast table, level
-  by level, and the class scores add up in columns of the row itself. Nothing
-  is shuffled. Used when the model fits the broadcast limit and is not too wide.
-* ``evidence`` - rows unpivot to (row, attribute) evidence that is joined to
-  each level of the model by key and summed per row. Low levels are few and
-  hot, and are broadcast when small; deep levels shuffle. Rows are summed under a
-  number of their own, so ids may repeat.
+A lookup of the nested model answers all levels of a value; ``path`` backoff takes
+one more. Two physical plans with the same result:
+
+* ``rowwise`` - every attribute looks its cells up in one broadcast table, and the
+  class vectors add up within the row. Nothing is shuffled. Used when the model
+  fits the broadcast limit by its measured size and is not too wide.
+* ``evidence`` - rows unpivot to (row, attribute) evidence that is joined to the
+  nested model by key and summed per row. Rows are summed under a number of their
+  own, so ids may repeat. Classes are summed in columns of a chunk, so the plan is
+  the same for any number of them.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kadence.conventions import NULL_TOKEN, parent_columns
-from kadence.functions.probability import m_estimate, normalise_logs
-from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel
+from kadence.functions.probability import m_estimate, normalise_vector
+from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel, bucket_count, bucket_of, cell_buckets, path_buckets, path_of
 from kadence.operators.network import Network
 from kadence.operators.params import evidence_struct
 from kadence.sources.training import category
@@ -36,6 +37,9 @@ TIE_PLACES = 12
 # Most lookups the rowwise plan chains in one stage; wider networks unpivot.
 MAX_ROW_LOOKUPS = 60
 
+# Classes that are summed in columns of one row; further ones take further rows.
+CLASS_CHUNK = 64
+
 
 def with_row_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """The caller's id column as ``row_id``, else a generated number.
@@ -105,9 +109,14 @@ def _look_up(df: DataFrame, keys: dict[str, Column], table: DataFrame, columns:
     return df.join(right, same, "left").drop(*[f"__{c}" for c in keys])
 
 
-def _slice(table: DataFrame, level: int, attr_num: int | None = None) -> DataFrame:
-    rows = table.filter(F.col("level") == level)
-    return rows if attr_num is None else rows.filter(F.col("attr_num") == attr_num)
+def _found(path: str, k: int, columns: dict[str, str], first: int) -> dict[str, Column]:
+    """Vectors of every level from ``first`` on, by the place of the line's own parents among a nested row's paths."""
+    out = {}
+    for level in range(first, k + 1):
+        place = F.array_position(path, path_of(k, level))
+        for column, name in columns.items():
+            out[f"{name}_{level}"] = F.when(place > 0, F.get(column, (place - 1).cast("int")))
+    return out
 
 
 def match_with_backoff(
@@ -119,13 +128,28 @@ def match_with_backoff(
     """Attach every matching level's cell to each evidence line.
 
     Adds ``<column>_<level>`` for levels 0..k, null where the level has no such
-    cell. Each level is one equi-join on the value and that many parents.
+    cell. One equi-join on the value and the bucket of the first parent.
     """
-    for level in range(model.k + 1):
-        keys = {c: F.col(c) for c in ("attr_num", "attr_value", *parent_columns(level))}
-        small = model.fits(model.cell_rows.get(level, 0), limit, len(columns))
-        evidence = _look_up(evidence, keys, _slice(model.cells, level), {c: f"{c}_{level}" for c in columns}, small)
-    return evidence
+    num = F.col("attr_num")
+    keys = {"attr_num": num, "attr_value": F.col("attr_value"), "bucket": bucket_of(bucket_count(cell_buckets(model.cell_sizes), num), model.k)}
+    held = {c: f"nested_{c}" for c in ("path", *columns)}
+    lines = _look_up(evidence, keys, model.nested, held, model.nested_bytes(len(columns)) <= limit)
+    found = _found("nested_path", model.k, {f"nested_{c}": c for c in columns}, 0)
+    return lines.select(*evidence.columns, *[v.alias(c) for c, v in found.items()])
+
+
+def match_paths(lines: DataFrame, model: CompiledModel, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Attach ``zero_<level>`` for levels 1..k: the vector of a value never seen under the line's parents, if these were."""
+    if not model.k:
+        return lines
+    num = F.col("attr_num")
+    bucket = bucket_of(bucket_count(path_buckets(model.path_sizes), num), model.k)
+    # A line without parents has no path to look for.
+    keys = {"attr_num": num, "bucket": F.when(F.col("parent1").isNotNull(), bucket)}
+    held = {"path": "nested_path", "zero_log_prob": "nested_zero"}
+    found = _look_up(lines, keys, model.nested_paths, held, model.path_bytes() <= limit)
+    zeros = _found("nested_path", model.k, {"nested_zero": "zero"}, 1)
+    return found.select(*lines.columns, *[v.alias(c) for c, v in zeros.items()])
 
 
 def matched_levels(matches: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
@@ -161,51 +185,64 @@ def _deepest_vector(cells: Sequence[str], zeros: Sequence[str | None], backoff:
     return F.when(F.col(cells[0]).isNotNull(), F.coalesce(*order))
 
 
+def chunk_rows(lines: DataFrame, vectors: Sequence[str], classes: int, width: int) -> DataFrame:
+    """A row per line and chunk of ``width`` classes; ``chunk`` is its number, vectors hold the chunk's entries."""
+    if classes <= width:
+        return lines.withColumn("chunk", F.lit(0))
+    chunks = F.sequence(F.lit(0), F.lit((classes - 1) // width))
+    rows = lines.withColumn("chunk", F.explode(chunks))
+    return rows.withColumns({v: F.slice(v, F.col("chunk") * width + 1, width) for v in vectors})
+
+
 def _scores_by_evidence(rows: DataFrame, model: CompiledModel, keep: Sequence[str], backoff: str, limit: int) -> DataFrame:
     k = model.k
     rows = rows.withColumn(ROW_KEY, F.monotonically_increasing_id())
     carried = [ROW_KEY, *keep]
     lines = match_with_backoff(rows_to_evidence(rows, model.net, carried, drop_null=False), model, ["log_prob"], limit)
     if backoff == "path":
-        for level in range(1, k + 1):
-            keys = {c: F.col(c) for c in ("attr_num", *parent_columns(level))}
-            small = model.fits(model.path_rows.get(level, 0), limit)
-            lines = _look_up(lines, keys, _slice(model.paths, level), {"zero_log_prob": f"zero_{level}"}, small)
+        lines = match_paths(lines, model, limit)
     levels = range(k + 1)
     best = _deepest_vector([f"log_prob_{i}" for i in levels], [f"zero_{i}" for i in levels], backoff)
-    lines = lines.select(ROW_ID, *carried, best.alias("best"))
-    totals = lines.groupBy(ROW_KEY).agg(
-        *[F.any_value(F.col(c)).alias(c) for c in (ROW_ID, *keep)],
-        *[F.sum(F.coalesce(F.col("best")[i], F.lit(0.0))).alias(f"score_{i}") for i in range(len(model.classes))],
-        F.count("best").alias("matched"),
-    )
-    return totals.drop(ROW_KEY)
+    lines = chunk_rows(lines.select(ROW_ID, *carried, best.alias("best")), ["best"], len(model.classes), CLASS_CHUNK)
+    # Ids and carried columns are grouping keys: as aggregates, texts would need a sort.
+    width = min(CLASS_CHUNK, len(model.classes))
+    sums = [F.sum(F.coalesce(F.get("best", F.lit(i)), F.lit(0.0))).alias(f"sum_{i}") for i in range(width)]
+    totals = lines.groupBy(ROW_ID, *carried, "chunk").agg(*sums, F.count("best").alias("matched"))
+    scores = F.array(*[F.col(f"sum_{i}") for i in range(width)])
+    if len(model.classes) <= CLASS_CHUNK:
+        return totals.select(ROW_ID, *keep, scores.alias("scores"), "matched")
+    parts = F.array_sort(F.collect_list(F.struct("chunk", scores.alias("part"))))
+    whole = totals.groupBy(ROW_ID, *carried).agg(parts.alias("parts"), F.max("matched").alias("matched"))
+    flat = F.slice(F.flatten(F.col("parts.part")), 1, len(model.classes))
+    return whole.select(ROW_ID, *keep, flat.alias("scores"), "matched")
 
 
 def _scores_by_row(rows: DataFrame, model: CompiledModel, keep: Sequence[str], backoff: str) -> DataFrame:
     net = model.net
     slots = [_slot(net, n.name) for n in net.nodes]
-    scores = [f"score_{i}" for i in range(len(model.classes))]
-    df = rows.select("*", *[F.lit(0.0).alias(s) for s in scores], F.lit(0).cast("bigint").alias("matched"))
-    for node in net.nodes:
-        bound = {c: F.col(_slot(net, p)) for c, p in zip(parent_columns(len(node.parents)), node.parents)}
-        value = F.col(_slot(net, node.name))
-        levels = range(len(node.parents) + 1)
-        for i in levels:
-            path = {c: bound[c] for c in parent_columns(i)}
-            cells, paths = _slice(model.cells, i, node.attr_num), _slice(model.paths, i, node.attr_num)
-            df = _look_up(df, {"attr_value": value, **path}, cells, {"log_prob": f"cell_{i}"}, small=True)
-            if backoff == "path" and i:
-                df = _look_up(df, path, paths, {"zero_log_prob": f"zero_{i}"}, small=True)
-        best = _deepest_vector([f"cell_{i}" for i in levels], [f"zero_{i}" for i in levels], backoff)
-        df = df.select(ROW_ID, *keep, *slots, *scores, "matched", best.alias("best")).select(
-            ROW_ID,
-            *keep,
-            *slots,
-            *[(F.col(s) + F.coalesce(F.col("best")[i], F.lit(0.0))).alias(s) for i, s in enumerate(scores)],
-            (F.col("matched") + F.col("best").isNotNull().cast("bigint")).alias("matched"),
-        )
-    return df.select(ROW_ID, *keep, *scores, "matched")
+    counts = cell_buckets(model.cell_sizes), path_buckets(model.path_sizes)
+    vectors = [f"vector_{n.attr_num}" for n in net.nodes]
+    df = rows.select(ROW_ID, *keep, *slots)
+    for node, vector in zip(net.nodes, vectors):
+        carried, k = df.columns, len(node.parents)
+        bound = {c: F.col(_slot(net, p)) for c, p in zip(parent_columns(k), node.parents)}
+        df = df.withColumns(bound) if bound else df
+        own = F.col("attr_num") == node.attr_num
+        keys = {"attr_value": F.col(_slot(net, node.name)), "bucket": bucket_of(F.lit(counts[0].get(node.attr_num, 1)), k)}
+        df = _look_up(df, keys, model.nested.filter(own), {"path": "nested_path", "log_prob": "nested_cell"}, small=True)
+        found = _found("nested_path", k, {"nested_cell": "cell"}, 0)
+        if backoff == "path" and k:
+            keys = {"bucket": F.when(F.col("parent1").isNotNull(), bucket_of(F.lit(counts[1].get(node.attr_num, 1)), k))}
+            df = _look_up(df, keys, model.nested_paths.filter(own), {"path": "nested_way", "zero_log_prob": "nested_zero"}, small=True)
+            found |= _found("nested_way", k, {"nested_zero": "zero"}, 1)
+        df = df.select(*carried, *[v.alias(c) for c, v in found.items()])
+        best = _deepest_vector([f"cell_{i}" for i in range(k + 1)], [f"zero_{i}" for i in range(k + 1)], backoff)
+        df = df.select(*carried, best.alias(vector))
+    matched = F.filter(F.array(*[F.col(v) for v in vectors]).cast("array<array<double>>"), lambda v: v.isNotNull())
+    nothing = F.array_repeat(F.lit(0.0), len(model.classes))
+    df = df.select(ROW_ID, *keep, matched.alias("vectors"))
+    sums = F.aggregate("vectors", nothing, lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
+    return df.select(ROW_ID, *keep, sums.alias("scores"), F.size("vectors").cast("bigint").alias("matched"))
 
 
 def class_log_scores(
@@ -218,7 +255,7 @@ def class_log_scores(
     plan: str = "auto",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Sum of log probabilities per row, one ``score_<i>`` column per class.
+    """Sum of log probabilities per row, as an array ``scores`` in the order of classes.
 
     Rows come from ``scoring_rows``. With the prior every row is scored; without
     it a row that matches nothing has no score and is left out.
@@ -226,9 +263,9 @@ def class_log_scores(
     if backoff not in ("pair", "path"):
         raise ValueError(f"unknown backoff {backoff!r}")
     if plan == "auto":
-        lookups = sum(model.cell_rows.values()) + (sum(model.path_rows.values()) if backoff == "path" else 0)
-        chain = sum(len(n.parents) + 1 for n in model.net.nodes) * (2 if backoff == "path" else 1)
-        plan = "rowwise" if model.fits(lookups, limit) and chain <= MAX_ROW_LOOKUPS else "evidence"
+        size = model.nested_bytes() + (model.path_bytes() if backoff == "path" else 0)
+        chain = sum(1 + (backoff == "path" and bool(n.parents)) for n in model.net.nodes)
+        plan = "rowwise" if size <= limit and chain <= MAX_ROW_LOOKUPS else "evidence"
     if plan == "rowwise":
         scores = _scores_by_row(rows, model, keep, backoff)
     elif plan == "evidence":
@@ -238,24 +275,22 @@ def class_log_scores(
     if not include_prior:
         return scores.filter(F.col("matched") > 0)
     total, classes = float(sum(model.class_counts)), float(len(model.classes))
-    priors = [F.log(m_estimate(F.lit(float(n)), F.lit(total), classes)) for n in model.class_counts]
-    return scores.withColumns({f"score_{i}": F.col(f"score_{i}") + p for i, p in enumerate(priors)})
+    priors = F.transform("totals_", lambda n: F.log(m_estimate(n.cast("double"), F.lit(total), classes)))
+    added = F.zip_with("scores", priors, lambda a, b: a + b)
+    # A column of its own: a lambda may not hold the subquery that many classes are read with.
+    return scores.withColumn("totals_", model.class_totals()).withColumn("scores", added).drop("totals_")
 
 
 def normalise_log_scores(scores: DataFrame, model: CompiledModel) -> DataFrame:
-    """Softmax of the class scores of each row: ``prob_<i>`` instead of ``score_<i>``."""
-    names = [f"score_{i}" for i in range(len(model.classes))]
-    carried = [c for c in scores.columns if c not in names]
-    probs = normalise_logs([F.col(s) for s in names])
-    return scores.select(*carried, *[p.alias(f"prob_{i}") for i, p in enumerate(probs)])
+    """Softmax of the class scores of each row: ``probs`` instead of ``scores``."""
+    carried = [c for c in scores.columns if c != "scores"]
+    return scores.select(*carried, normalise_vector(F.col("scores")).alias("probs"))
 
 
-def by_class(wide: DataFrame, model: CompiledModel, prefix: str, name: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Long form (row, class, value) of per-class columns."""
-    entries = [
-        F.struct(F.lit(c).alias("class"), F.col(f"{prefix}_{i}").alias(name)) for i, c in enumerate(model.classes)
-    ]
-    return wide.select(ROW_ID, *keep, F.explode(F.array(*entries)).alias("e")).select(ROW_ID, *keep, "e.*")
+def by_class(wide: DataFrame, model: CompiledModel, vector: str, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Long form (row, class, value) of a vector over the classes."""
+    entries = F.arrays_zip(model.class_names().alias("class"), F.col(vector).alias(name))
+    return wide.select(ROW_ID, *keep, F.explode(entries).alias("e")).select(ROW_ID, *keep, F.col("e.class").alias("class"), F.col(f"e.{name}").alias(name))
 
 
 def predict_class(probs: DataFrame, model: CompiledModel, keep: Sequence[str] = ()) -> DataFrame:
@@ -264,14 +299,13 @@ def predict_class(probs: DataFrame, model: CompiledModel, keep: Sequence[str] =
     On a tie the smallest class wins. Probabilities that agree to ``TIE_PLACES``
     places are a tie: sums of the same logs in another order differ in the last bit.
     """
-    values = F.array(*[F.col(f"prob_{i}") for i in range(len(model.classes))])
-    near = F.array(*[F.round(f"prob_{i}", TIE_PLACES) for i in range(len(model.classes))])
-    place = F.array_position(near, F.array_max(near)).cast("int")
-    classes = F.array(*[F.lit(c) for c in model.classes])
-    return probs.select(
+    near = F.transform("probs", lambda p: F.round(p, TIE_PLACES))
+    rows = probs.select(ROW_ID, *keep, "probs", near.alias("near"), model.class_names().alias("names"))
+    place = F.array_position("near", F.array_max("near")).cast("int")
+    return rows.select(
         ROW_ID,
         *keep,
-        F.element_at(classes, place).alias("predicted_class"),
-        F.element_at(values, place).alias("predicted_prob"),
-        F.map_from_arrays(classes, values).alias("class_probs"),
+        F.element_at("names", place).alias("predicted_class"),
+        F.element_at("probs", place).alias("predicted_prob"),
+        F.map_from_arrays("names", "probs").alias("class_probs"),
     )

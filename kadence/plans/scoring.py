@@ -45,7 +45,7 @@ def predict_proba(
     """(row_id, class, prob) for every row and class."""
     compiled = _compiled(model, structure)
     probs = _probabilities(df, compiled, id_col, keep, include_prior, backoff, plan, limit, encoding)
-    return P.by_class(probs, compiled, "prob", "prob", keep)
+    return P.by_class(probs, compiled, "probs", "prob", keep)
 
 
 def predict_classes(
