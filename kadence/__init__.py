@@ -21,15 +21,17 @@ from kadence.sources.tables import (
     write_predictions,
 )
 from kadence.sources.training import encode_categories, read_training
-from kadence.streaming.incremental import add_rows, count_stream, logged_counts, remove_rows
+from kadence.streaming.incremental import add_rows, compact_log, count_stream, drop_covered, logged_counts, remove_rows
 
 __all__ = [
     "CompiledModel",
     "Dim",
     "add_rows",
+    "compact_log",
     "compile_model",
     "conditional_counts",
     "count_stream",
+    "drop_covered",
     "encode_categories",
     "encode_star",
     "learn_parameters",

@@ -1,9 +1,9 @@
 """Mutual information and conditional mutual information from count tables.
 
-Two equivalent plans. The general one joins cells to their margins by value, so
-null values and classes add nothing. When the counts are complete (no nulls, no
-orphan keys) the margins cancel into sums of n*log2(n), which need no join of
-the large pair table at all.
+Two equivalent plans, neither of which joins the large pair table. The general one
+leaves null values and classes out and meets the margins of a pair's two values
+after the pair cells are summed over the other value. When the counts are complete
+(no nulls, no orphan keys) the margins cancel into sums of n*log2(n).
 """
 
 from __future__ import annotations
@@ -71,24 +71,29 @@ def mutual_information_complete(terms: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def conditional_mutual_information(pairs: DataFrame, xy: DataFrame, y: DataFrame) -> DataFrame:
-    """CMI(a1; a2 | class) in bits, one row per unordered pair."""
-    left = xy.select(
-        F.col("attr_num").alias("attr_num1"), F.col("attr_value").alias("attr_value1"), "class", F.col("n").alias("n1")
-    )
-    right = xy.select(
-        F.col("attr_num").alias("attr_num2"), F.col("attr_value").alias("attr_value2"), "class", F.col("n").alias("n2")
-    )
-    classes = y.select("class", F.col("n").alias("n_class"))
-    n = F.col("n")
-    ratio = (n / F.col("n1")) * (F.col("n_class") / F.col("n2"))
-    return (
-        pairs.join(left, ["attr_num1", "attr_value1", "class"])
-        .join(right, ["attr_num2", "attr_value2", "class"])
-        .join(classes, "class")
-        .withColumn("n_total", total(y))
-        .groupBy("attr_num1", "attr_num2")
-        .agg(F.sum(n / F.col("n_total") * F.log2(ratio)).alias("cmi"))
+    """CMI(a1; a2 | class) in bits, one row per unordered pair.
+
+    The logarithm of each cell's ratio is a sum: the cell's own term and the class's, less those of its two
+    values. A value's term is the same in all cells that hold it, so these are summed first, into a table of
+    (attribute, value, class, other attribute); only that one meets the margins.
+    """
+    known = F.col("attr_value1").isNotNull() & F.col("attr_value2").isNotNull() & F.col("class").isNotNull()
+    cells = pairs.filter(known)
+    pair = ["attr_num1", "attr_num2"]
+    joint = cells.groupBy(*pair).agg(F.sum(_n_log_n(F.col("n"))).alias("term"))
+    by_class = cells.groupBy(*pair, "class").agg(F.sum("n").alias("n"))
+    by_class = by_class.join(y.select("class", F.col("n").alias("n_class")), "class")
+    given = by_class.groupBy(*pair).agg(F.sum(F.col("n") * F.log2("n_class")).alias("term"))
+    sides = F.array(
+        *[F.struct(F.lit(i).alias("side"), F.col(f"attr_num{i}").alias("attr_num"), F.col(f"attr_value{i}").alias("attr_value")) for i in (1, 2)]
     )
+    keys = ["side", "attr_num", "attr_value", "class", *pair]
+    values = cells.select(*pair, "class", "n", F.explode(sides).alias("s")).select(*pair, "class", "n", "s.*").groupBy(*keys).agg(F.sum("n").alias("n"))
+    margins = xy.select("attr_num", "attr_value", "class", F.col("n").alias("n_value"))
+    values = values.join(margins, ["attr_num", "attr_value", "class"])
+    values = values.groupBy(*pair).agg((-F.sum(F.col("n") * F.log2("n_value"))).alias("term"))
+    terms = joint.unionByName(given).unionByName(values).groupBy(*pair).agg(F.sum("term").alias("term"))
+    return terms.withColumn("n_total", total(y)).select(*pair, (F.col("term") / F.col("n_total")).alias("cmi"))
 
 
 def conditional_mutual_information_complete(pairs: DataFrame, terms: DataFrame, y: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from kadence.operators.counts import name_of, weighted_rows
 from kadence.operators.network import Network, Node
 from kadence.sources.training import TrainingSet
 
-# Parent paths that share a copy of their attribute's domain in the dense fill; an
-# attribute with more paths spreads over as many tasks more.
-PATHS_PER_COPY = 50_000
+# Parent paths and domain values that meet in one block of the dense fill: a block gives
+# at most about as many rows as their product, whatever the numbers of paths and values.
+PATHS_PER_BLOCK, VALUES_PER_BLOCK = 20_000, 256
 
 # Columns that a grouping id has room for.
 GROUPING_COLUMNS = 64
@@ -266,22 +266,15 @@ def sparse_cells(counts: DataFrame, y: DataFrame, k: int) -> DataFrame:
 def dense_cells(counts: DataFrame, y: DataFrame, k: int, domains: DataFrame | None = None) -> DataFrame:
     """Every domain value under every observed parent path, with class vectors.
 
-    Paths meet their attribute's domain on (attribute, copy). An attribute has a
-    copy per ``PATHS_PER_COPY`` of its paths, as counted, so one of many paths
-    does not land in few tasks.
+    Paths and domain values of an attribute meet in a grid of blocks, as many as their
+    counted numbers ask for, so neither many paths nor a wide domain lands in few tasks.
     """
     classes = class_list(y)
     if domains is None:
         level0 = attribute_cells(counts).filter(F.col("level") == 0)
         domains = level0.select("attr_num", "attr_value").distinct()
     paths = class_vectors(path_counts(counts, k), path_columns(k), classes, "parents_count")
-    # A row per attribute, so safe to broadcast.
-    spread = F.broadcast(paths.groupBy("attr_num").agg(F.ceil(F.count(F.lit(1)) / PATHS_PER_COPY).cast("int").alias("copies")))
-    copy = F.pmod(F.xxhash64(*[F.col(c) for c in path_columns(k)]), F.col("copies")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    copies = domains.join(spread, "attr_num").select("attr_num", "attr_value", every.alias("copy"))
-    spreading = paths.join(spread, "attr_num").withColumn("copy", copy).drop("copies")
-    grid = spreading.join(copies, ["attr_num", "copy"]).drop("copy")
+    grid = _grid(paths, domains, k)
     seen = class_vectors(attribute_cells(counts), cell_columns(k), classes, "n")
     zeros = F.transform(F.col("parents_count"), lambda _: F.lit(0).cast("bigint"))
     return _join_on_key(grid, seen, cell_columns(k), "left").select(
@@ -289,6 +282,21 @@ def dense_cells(counts: DataFrame, y: DataFrame, k: int, domains: DataFrame | No
     )
 
 
+def _grid(paths: DataFrame, domains: DataFrame, k: int) -> DataFrame:
+    """Every path of an attribute with every value of its domain, by blocks of both."""
+    some = lambda rows, per, name: rows.groupBy("attr_num").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    # A row per attribute, so safe to broadcast.
+    shape = some(paths, PATHS_PER_BLOCK, "path_blocks").join(some(domains, VALUES_PER_BLOCK, "value_blocks"), "attr_num")
+    shape = F.broadcast(shape)
+    own = lambda columns, blocks: F.pmod(F.xxhash64(*columns), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = paths.join(shape, "attr_num").withColumn("path_block", own([F.col(c) for c in path_columns(k)], "path_blocks"))
+    left = left.withColumn("value_block", every("value_blocks")).drop("path_blocks", "value_blocks")
+    right = domains.select("attr_num", "attr_value").join(shape, "attr_num").withColumn("value_block", own([F.col("attr_value")], "value_blocks"))
+    right = right.withColumn("path_block", every("path_blocks")).drop("path_blocks", "value_blocks")
+    return left.join(right, ["attr_num", "path_block", "value_block"]).drop("path_block", "value_block")
+
+
 def num_values_of(net: Network, num: Column) -> Column:
     """Domain size for an attribute number, from the structure."""
     sizes = {n.attr_num: n.num_values for n in net.nodes}
