@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadence.llm import bottom_k, host_rules, packing, pii_bootstrap, positive_unlabelled
-from kadence.sources.staging import stage
+from kadence.sources.staging import new_stage_path, stage, staging_run
 
 #: Tokenization and training have no SQL.
 ORACLE_SQL = None
@@ -59,8 +59,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    A stage's own tables are removed once its result is written; the results of all stages stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        path = new_stage_path(spark, name)
+        with staging_run(spark):
+            docs = stage(step(spark, docs, sf_dir), name, path)
     return docs
