@@ -176,80 +176,40 @@ def star_attr_counts(star: StarSet, xy: DataFrame) -> DataFrame:
     return _union(parts).groupBy(*XY_KEYS).agg(F.sum("n").alias("n"))
 
 
-def _pairs_with(pairs: DataFrame, num: int) -> DataFrame:
-    """Pair counts that involve one attribute, as (key, other_num, other_value)."""
-    a = pairs.filter(F.col("attr_num1") == num).select(
-        F.col("attr_value1").alias("key"),
-        F.col("attr_num2").alias("other_num"),
-        F.col("attr_value2").alias("other_value"),
-        "class",
-        "n",
-    )
-    b = pairs.filter(F.col("attr_num2") == num).select(
-        F.col("attr_value2").alias("key"),
-        F.col("attr_num1").alias("other_num"),
-        F.col("attr_value1").alias("other_value"),
-        "class",
-        "n",
-    )
-    return a.unionByName(b)
+def _entries(i: int, d: EncodedDim) -> DataFrame:
+    """(num, key, entries) of one dimension."""
+    rows = d.df.select(F.lit(d.fk_num).alias("num"), F.col("__pk").alias("key"), _values(d))
+    entry = lambda v, pos: F.struct(num_at(d.attr_nums, pos).alias("num"), v.alias("value"), F.lit(i).alias("dim"))
+    return rows.select("num", "key", F.transform("values", entry).alias("entries"))
 
 
-def _with_fact(star: StarSet, d: EncodedDim, pairs: DataFrame) -> DataFrame:
-    """(dimension attribute, fact attribute), other foreign keys included if they count."""
-    others = [n for n in star.fact_attr_nums if n != d.fk_num]
-    return (
-        _pairs_with(pairs, d.fk_num)
-        .filter(F.col("other_num").isin(others))
-        .join(_dim_rows(d, "key"), "key")
-        .select("other_num", "other_value", "class", "n", F.posexplode("values").alias("pos", "value"))
-        .select(
-            num_at(d.attr_nums, F.col("pos")).alias("attr_num1"),
-            F.col("value").alias("attr_value1"),
-            F.col("other_num").alias("attr_num2"),
-            F.col("other_value").alias("attr_value2"),
-            "class",
-            "n",
-        )
-    )
+def _roles(star: StarSet) -> DataFrame | None:
+    """(num, key, entries): what each foreign key's values stand for, over all dimensions.
 
+    An entry is (attribute number, value, dimension). Dimensions with one foreign key share its rows.
+    """
+    parts = [_entries(i, d) for i, d in enumerate(star.dims) if d.attrs]
+    if not parts:
+        return None
+    if len({d.fk_num for d in star.dims if d.attrs}) == len(parts):
+        return _union(parts)
+    return _union(parts).groupBy("num", "key").agg(F.flatten(F.collect_list("entries")).alias("entries"))
 
-def _with_own_key(d: EncodedDim, xy: DataFrame) -> DataFrame:
-    """(dimension attribute, the dimension's own foreign key)."""
-    keys = xy.filter(F.col("attr_num") == d.fk_num).select(F.col("attr_value").alias("key"), "class", "n")
-    return (
-        keys.join(_dim_rows(d, "key"), "key")
-        .select("key", "class", "n", F.posexplode("values").alias("pos", "value"))
-        .select(
-            num_at(d.attr_nums, F.col("pos")).alias("attr_num1"),
-            F.col("value").alias("attr_value1"),
-            F.lit(d.fk_num).alias("attr_num2"),
-            F.col("key").alias("attr_value2"),
-            "class",
-            "n",
-        )
-    )
 
+def _expanded(rows: DataFrame, first: Column, second: Column, flat_pairs: set[tuple[int, int]]) -> DataFrame:
+    """Pair cells of every entry of ``first`` with every entry of ``second``, dimension attributes in at least one.
 
-def _same_dim(d: EncodedDim, xy: DataFrame) -> DataFrame:
-    """Both attributes from one dimension."""
-    keys = xy.filter(F.col("attr_num") == d.fk_num).select(F.col("attr_value").alias("key"), "class", "n")
-    return (
-        keys.join(_dim_rows(d, "key"), "key")
-        .select("class", "n", "values", F.posexplode("values").alias("i", "attr_value1"))
-        .filter(F.col("i") > 0)
-        .select(
-            "class", "n", "i", "attr_value1", F.posexplode(F.slice("values", F.lit(1), F.col("i"))).alias("j", "attr_value2")
-        )
-        .select(
-            num_at(d.attr_nums, F.col("i")).alias("attr_num1"),
-            "attr_value1",
-            num_at(d.attr_nums, F.col("j")).alias("attr_num2"),
-            "attr_value2",
-            "class",
-            "n",
-        )
-    )
+    The larger number comes first; one number with itself, and pairs of dimensions counted over rows, are left out.
+    """
+    each = rows.select("class", "n", F.explode(first).alias("x"), second.alias("rest")).select("class", "n", "x", F.explode("rest").alias("y"))
+    mine = (F.col("x.num") != F.col("y.num")) & (F.greatest("x.dim", "y.dim") >= 0)
+    for i, j in flat_pairs:
+        mine = mine & ~((F.least("x.dim", "y.dim") == min(i, j)) & (F.greatest("x.dim", "y.dim") == max(i, j)))
+    upper = F.col("x.num") > F.col("y.num")
+    a, b = F.when(upper, F.col("x")).otherwise(F.col("y")), F.when(upper, F.col("y")).otherwise(F.col("x"))
+    cells = each.filter(mine).select(a.alias("a"), b.alias("b"), "class", "n")
+    sides = [F.col(f"{s}.{f}").alias(f"attr_{f}{i}") for i, s in ((1, "a"), (2, "b")) for f in ("num", "value")]
+    return cells.select(*sides, "class", "n")
 
 
 def _cross_dims(a: EncodedDim, b: EncodedDim, keys: DataFrame) -> DataFrame:
@@ -333,37 +293,45 @@ def join_dimensions(star: StarSet, which: Sequence[int]) -> StarSet:
 def star_pair_counts(
     star: StarSet, xy: DataFrame, pairs: DataFrame, flat_pairs: set[tuple[int, int]] = frozenset()
 ) -> DataFrame:
-    """n(a1, v1, a2, v2, class) for every pair with a dimension attribute in it."""
-    parts = []
-    for i, d in enumerate(star.dims):
-        if not d.attrs:
-            continue
-        parts.append(_with_fact(star, d, pairs))
-        parts.append(_same_dim(d, xy))
-        if d.key_is_attr:
-            parts.append(_with_own_key(d, xy))
-        for j in range(i + 1, len(star.dims)):
-            other = star.dims[j]
-            if not other.attrs:
-                continue
-            if (i, j) in flat_pairs:
-                keys = star.fact.df.select(
-                    F.col(f"`{d.fk}`").alias("key_a"),
-                    F.col(f"`{other.fk}`").alias("key_b"),
-                    F.col(f"`{star.fact.label}`").alias("class"),
-                    F.lit(1).cast("bigint").alias("n"),
-                )
-            elif d.fk_num == other.fk_num:
-                own = xy.filter(F.col("attr_num") == d.fk_num)
-                keys = own.select(F.col("attr_value").alias("key_a"), F.col("attr_value").alias("key_b"), "class", "n")
-            else:
-                keys = _pairs_with(pairs.filter(F.col("attr_num1").isin(d.fk_num, other.fk_num)), d.fk_num)
-                keys = keys.filter(F.col("other_num") == other.fk_num).select(
-                    F.col("key").alias("key_a"), F.col("other_value").alias("key_b"), "class", "n"
-                )
-            parts.append(_cross_dims(d, other, keys))
-    if not parts:
+    """n(a1, v1, a2, v2, class) for every pair with a dimension attribute in it.
+
+    Both values of a pair cell that are foreign keys are looked up in one table of all dimensions, and the cell
+    is expanded within its row; so the pair table is read once, whatever the number of dimensions.
+    """
+    roles = _roles(star)
+    if roles is None:
         return pairs.limit(0)
+    keys = sorted({d.fk_num for d in star.dims if d.attrs})
+    kept = star.fact_attr_nums
+    fields = lambda num, value: F.struct(num.alias("num"), value.alias("value"), F.lit(-1).alias("dim"))
+
+    def stands_for(num: Column, value: Column, entries: str) -> Column:
+        """The attribute itself, if it is one, and what a dimension says of it."""
+        none = F.slice(F.array(fields(num, value)), 1, 0)
+        own = F.when(num.isin(kept), F.array(fields(num, value))).otherwise(none)
+        return F.concat(own, F.coalesce(F.col(entries), none))
+
+    side = lambda i: roles.select(F.col("num").alias(f"attr_num{i}"), F.col("key").alias(f"attr_value{i}"), F.col("entries").alias(f"entries{i}"))
+    with_keys = pairs.filter(F.col("attr_num1").isin(keys) | F.col("attr_num2").isin(keys))
+    for i in (1, 2):
+        with_keys = with_keys.join(side(i), [f"attr_num{i}", f"attr_value{i}"], "left")
+    sides = [stands_for(F.col(f"attr_num{i}"), F.col(f"attr_value{i}"), f"entries{i}") for i in (1, 2)]
+    parts = [_expanded(with_keys, *sides, flat_pairs)]
+
+    # Within one foreign key's dimensions, and these with the key itself; each pair comes in both orders.
+    own = xy.filter(F.col("attr_num").isin(keys)).select(F.col("attr_num").alias("num"), F.col("attr_value").alias("key"), "class", "n")
+    own = own.join(roles, ["num", "key"])
+    inner = stands_for(F.col("num"), F.col("key"), "entries")
+    once = own.select("class", "n", F.explode(inner).alias("x"), inner.alias("all"))
+    once = once.withColumn("rest", F.filter("all", lambda y: y["num"] < F.col("x.num")))
+    parts.append(_expanded(once, F.array("x"), F.col("rest"), flat_pairs))
+
+    for i, j in sorted(flat_pairs):
+        d, other = star.dims[i], star.dims[j]
+        if d.attrs and other.attrs:
+            keys_of = [F.col(f"`{x.fk}`").alias(n) for x, n in ((d, "key_a"), (other, "key_b"))]
+            label = F.col(f"`{star.fact.label}`").alias("class")
+            parts.append(_cross_dims(d, other, star.fact.df.select(*keys_of, label, F.lit(1).cast("bigint").alias("n"))))
     return _union(parts).groupBy(*PAIR_KEYS).agg(F.sum("n").alias("n"))
 
 
