@@ -76,8 +76,9 @@ def loocv_scores(
         for c in range(width):
             own = (F.col("own") == F.col("chunk") * width + (c + 1)).cast("bigint")
             n, total = F.get(f"n_used_{i}", F.lit(c)), F.get("class_n" if joint else f"t_used_{i}", F.lit(c))
-            # The logarithm of what is not positive is null; it must not vanish in a sum.
-            term = F.coalesce(F.log(m_estimate(n - own, total - own, F.col("values"))), F.lit(float("nan")))
+            # What has no logarithm is null; it must not vanish in a sum.
+            estimate = F.try_divide(n - own + 1.0 / F.col("values"), total - own + F.lit(1.0))
+            term = F.coalesce(F.log(estimate), F.lit(float("nan")))
             sums.append(F.sum(F.when(n.isNull(), F.lit(0.0)).otherwise(term)).alias(f"s_{i}_{c}"))
     totals = lines.groupBy(ROW_KEY, ROW_ID, label, "own", "chunk").agg(*sums)
     totals = totals.withColumns({"names": model.class_names(), "counts": model.class_totals()})
