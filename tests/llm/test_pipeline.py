@@ -1,5 +1,6 @@
 """The whole pipeline against plain Python over a small corpus."""
 
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers as P
 
 import corpus_pipeline
 from kadence.llm import pii_bootstrap, positive_unlabelled
-from kadence.sources.staging import stage
+from kadence.sources.staging import stage, staging_root
 from tests.llm.samples import prose
 from tests.llm.test_bottom_k import brute as brute_components
 from tests.llm.test_host_rules import brute as brute_measures
@@ -89,8 +90,15 @@ def test_stages_are_those_of_plain_python(spark, corpus):
 
 def test_run_gives_the_last_stage(spark, corpus):
     folder, _ = corpus
-    columns = ["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32"]
-    assert corpus_pipeline.run(spark, folder).columns == columns
+    root = staging_root(spark).removeprefix("file://") + "/kadence"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    columns = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "ids_crc32"]
+    result = corpus_pipeline.run(spark, folder)
+    assert result.columns == columns
+    assert all(len(r.ids) == 4 * r.length for r in result.collect())
+    # Of all that was written only the stages' results stay.
+    left = [os.listdir(f"{root}/{new}") for new in set(os.listdir(root)) - before]
+    assert sorted(left) == sorted([name] for name, _ in corpus_pipeline.STAGES)
 
 
 def test_empty_tables(spark, tmp_path):
