@@ -357,6 +357,13 @@ def a5(spark, sf):
     return C.fused_counts(f4_set(spark, sf, "drop"))
 
 
+@query("a5_fused_counts_tiled", O.with_ctes(O.count_ctes(X.F4_DROP), FUSED_BODY))
+def a5_tiled(spark, sf):
+    xy, pairs = L.stage_fused(f4_set(spark, sf, "drop"), "tiled", tile_attrs=2)
+    on_diagonal = [F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in ("attr_num", "attr_value")]
+    return xy.select(*on_diagonal, "class", "n").unionByName(pairs)
+
+
 @query(
     "a6_ordered_pair_counts",
     O.with_ctes(
@@ -632,6 +639,16 @@ def t5_factorised(spark, sf):
     )
 
 
+@query("t5_star_structure_sketched", SQL["t5_star_structure"])
+def t5_sketched(spark, sf):
+    """The plan comes from sketches that two parts of the fact gave."""
+    fact, dims = X.f2_fact(spark, sf), X.f2_dims(spark, sf)
+    open_lines = F.col("l_linestatus") == "O"
+    parts = [S.key_sketches(S.encode_star(fact.filter(c), "l_returnflag", dims)) for c in (open_lines, ~open_lines)]
+    sketches = staging.stage(parts[0].unionByName(parts[1]), "sketches")
+    return kd.learn_structure_star(fact, "l_returnflag", dims, K, fact_name="lineitem", sketches=sketches)
+
+
 @query(
     "t5_star_structure_one_dim",
     O.with_ctes(

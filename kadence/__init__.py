@@ -3,7 +3,7 @@
 from kadence.operators.compiled import CompiledModel, compile_model, load_compiled
 from kadence.operators.evaluate import model_size, prune_model, prune_structure
 from kadence.operators.params import conditional_counts, model_table
-from kadence.operators.star import Dim, encode_star, star_join
+from kadence.operators.star import Dim, encode_star, key_sketches, star_join
 from kadence.plans.learning import (
     learn_parameters,
     learn_parameters_star,
@@ -34,6 +34,7 @@ __all__ = [
     "drop_covered",
     "encode_categories",
     "encode_star",
+    "key_sketches",
     "learn_parameters",
     "learn_parameters_star",
     "learn_structure",

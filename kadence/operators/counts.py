@@ -7,7 +7,8 @@ the shuffle as one partial sum per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from kadence.sources.training import TrainingSet
 # rows are distinct; above it the extra shuffle costs more than it saves.
 REPEATING_ROWS = 0.1
 
+# Attributes of a block. A table with more of them is counted by tiles, one block
+# against another, so that a row gives at most TILE_ATTRS ** 2 lines in one job.
+TILE_ATTRS = 64
+
 XY_KEYS = ["attr_num", "attr_value", "class"]
 PAIR_KEYS = ["attr_num1", "attr_value1", "attr_num2", "attr_value2", "class"]
 
@@ -68,10 +73,9 @@ def class_counts_of(xy: DataFrame, attr_num: int) -> DataFrame:
 
 def attr_class_counts(ts: TrainingSet, pregroup: bool | str = False) -> DataFrame:
     """n(attribute, value, class) for all attributes in one scan."""
-    values = F.array(*[F.col(f"`{a}`") for a in ts.attrs])
     return (
         weighted_rows(ts, pregroup)
-        .select(F.col(f"`{ts.label}`").alias("class"), "n", F.posexplode(values).alias("pos", "attr_value"))
+        .select(F.col(f"`{ts.label}`").alias("class"), "n", F.posexplode(_values(ts.attrs)).alias("pos", "attr_value"))
         .groupBy("pos", "attr_value", "class")
         .agg(F.sum("n").alias("n"))
         .select(num_at(ts.attr_nums, F.col("pos")).alias("attr_num"), "attr_value", "class", "n")
@@ -89,10 +93,9 @@ def fused_counts(
     diagonal is the attribute count, the rest is each unordered pair once, with
     ``attr_num1 >= attr_num2``. The plan does not grow with the table's width.
     """
-    pos = {a: i for i, a in enumerate(ts.attrs)}
     rows = (
         weighted_rows(ts, pregroup)
-        .select(F.col(f"`{ts.label}`").alias("class"), "n", F.array(*[F.col(f"`{a}`") for a in ts.attrs]).alias("row"))
+        .select(F.col(f"`{ts.label}`").alias("class"), "n", _values(ts.attrs).alias("row"))
         .select("class", "n", "row", F.posexplode("row").alias("i", "attr_value1"))
         .select(
             "class",
@@ -102,16 +105,32 @@ def fused_counts(
             F.posexplode(F.slice("row", F.lit(1), F.col("i") + 1)).alias("j", "attr_value2"),
         )
     )
-    for a, b in skip_pairs:
-        hi, lo = max(pos[a], pos[b]), min(pos[a], pos[b])
-        rows = rows.filter((F.col("i") != hi) | (F.col("j") != lo))
+    return _summed(_without(rows, ts.attrs, ts.attrs, skip_pairs), ts.attr_nums, ts.attr_nums)
+
+
+def _values(attrs: Iterable[str]) -> Column:
+    return F.array(*[F.col(f"`{a}`") for a in attrs])
+
+
+def _without(rows: DataFrame, first: Sequence[str], second: Sequence[str], skip_pairs: Iterable[tuple[str, str]]) -> DataFrame:
+    """Leave out pairs of attributes; ``i`` and ``j`` are positions in ``first`` and ``second``."""
+    i, j = ({a: n for n, a in enumerate(attrs)} for attrs in (first, second))
+    for pair in skip_pairs:
+        for a, b in (pair, pair[::-1]):
+            if a in i and b in j:
+                rows = rows.filter((F.col("i") != i[a]) | (F.col("j") != j[b]))
+    return rows
+
+
+def _summed(rows: DataFrame, first: Sequence[int], second: Sequence[int]) -> DataFrame:
+    """Pair cells out of lines with positions, under the attribute numbers at these positions."""
     return (
         rows.groupBy("i", "attr_value1", "j", "attr_value2", "class")
         .agg(F.sum("n").alias("n"))
         .select(
-            num_at(ts.attr_nums, F.col("i")).alias("attr_num1"),
+            num_at(first, F.col("i")).alias("attr_num1"),
             "attr_value1",
-            num_at(ts.attr_nums, F.col("j")).alias("attr_num2"),
+            num_at(second, F.col("j")).alias("attr_num2"),
             "attr_value2",
             "class",
             "n",
@@ -119,6 +138,44 @@ def fused_counts(
     )
 
 
+def _columns(ts: TrainingSet, attrs: Sequence[str]) -> TrainingSet:
+    """The training set with some of its attributes; only their columns are read."""
+    kept = ts.df.select(*[F.col(f"`{c}`") for c in (ts.label, *attrs)])
+    return replace(ts, df=kept, attrs=tuple(attrs), attr_nums=tuple(ts.num_of(a) for a in attrs))
+
+
+def column_tiles(ts: TrainingSet, width: int = TILE_ATTRS) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Blocks of at most ``width`` attributes, each with itself and every block before it.
+
+    Together the tiles hold each unordered pair of attributes once, and each attribute with itself.
+    """
+    if width < 1:
+        raise ValueError("a tile has at least one attribute")
+    blocks = [ts.attrs[start : start + width] for start in range(0, len(ts.attrs), width)]
+    return [(block, before) for i, block in enumerate(blocks) for before in blocks[: i + 1]]
+
+
+def tile_counts(
+    ts: TrainingSet,
+    tile: tuple[Sequence[str], Sequence[str]],
+    pregroup: bool | str = False,
+    skip_pairs: Iterable[tuple[str, str]] = (),
+) -> DataFrame:
+    """The fused counts of one tile. It reads the columns of its two blocks and no others."""
+    upper, lower = tile
+    if tuple(upper) == tuple(lower):
+        return fused_counts(_columns(ts, upper), pregroup, skip_pairs)
+    part = _columns(ts, (*lower, *upper))
+    rows = (
+        weighted_rows(part, pregroup)
+        .select(F.col(f"`{ts.label}`").alias("class"), "n", _values(upper).alias("upper"), _values(lower).alias("lower"))
+        .select("class", "n", "lower", F.posexplode("upper").alias("i", "attr_value1"))
+        .select("class", "n", "i", "attr_value1", F.posexplode("lower").alias("j", "attr_value2"))
+    )
+    rows = _without(rows, upper, lower, skip_pairs)
+    return _summed(rows, [ts.num_of(a) for a in upper], [ts.num_of(a) for a in lower])
+
+
 def xy_of(fused: DataFrame) -> DataFrame:
     """The diagonal of fused counts: n(attribute, value, class)."""
     return fused.filter(F.col("attr_num1") == F.col("attr_num2")).select(

@@ -7,9 +7,9 @@ Those counts are then joined to the dimensions by key and summed again.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kadence.conventions import NULL_TOKEN
@@ -135,14 +135,30 @@ def lost_rows(star: StarSet, xy: DataFrame, y: DataFrame) -> DataFrame:
     return names.join(found, "attr_num", "left").select("table_name", "fk", lost)
 
 
+def _key_rows(star: StarSet) -> DataFrame:
+    """(dim, __pk) of all dimensions."""
+    return _union([d.df.select(F.lit(i).alias("dim"), "__pk") for i, d in enumerate(star.dims)])
+
+
+def dimension_rows(star: StarSet) -> list[int]:
+    """Rows of each dimension."""
+    if not star.dims:
+        return []
+    found = {r["dim"]: r["n"] for r in _key_rows(star).groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [found.get(i, 0) for i in range(len(star.dims))]
+
+
 def check_unique_keys(star: StarSet) -> None:
     """Raise if a dimension has two rows of one key; plans would count them differently.
 
-    One aggregate per dimension, of which at most one row comes back.
+    One aggregate over all dimensions, of which at most one row a dimension comes back.
     """
-    for d in star.dims:
-        if not d.df.groupBy("__pk").count().filter("count > 1").isEmpty():
-            raise ValueError(f"dimension {d.name!r} has several rows of one {d.pk!r}")
+    if not star.dims:
+        return
+    repeated = _key_rows(star).groupBy("dim", "__pk").count().filter("count > 1").select("dim").distinct()
+    for i in sorted(r["dim"] for r in repeated.collect()):
+        d = star.dims[i]
+        raise ValueError(f"dimension {d.name!r} has several rows of one {d.pk!r}")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -250,16 +266,87 @@ def counted_by_key(dim: EncodedDim, n_rows: int, distinct_keys: int) -> bool:
     return not small or len(dim.attrs) >= FEW_ATTRS
 
 
-def key_statistics(star: StarSet) -> tuple[int, list[int], dict[tuple[int, int], int]]:
-    """Fact rows, distinct (key, class) per dimension and distinct key pairs, in one approximate scan."""
-    label = F.col(f"`{star.fact.label}`")
-    keys = [F.col(f"`{d.fk}`") for d in star.dims]
-    duos = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys))]
-    groups = [[k] for k in keys] + [[keys[i], keys[j]] for i, j in duos]
-    distinct = [F.approx_count_distinct(F.xxhash64(*g, label)).alias(f"d{n}") for n, g in enumerate(groups)]
-    row = star.fact.df.agg(F.count(F.lit(1)).alias("n"), *distinct).first()
-    counts = [max(row[f"d{n}"], 1) for n in range(len(groups))]
-    return row["n"], counts[: len(keys)], dict(zip(duos, counts[len(keys) :]))
+# Spark's estimate for rows it knows nothing of.
+UNKNOWN_SIZE = 2**63 - 1
+
+# A row per foreign key and per two of them: the rows sketched and a sketch of the distinct values with the class.
+SKETCHES = "keys array<string>, n bigint, sketch binary"
+
+
+def _key_groups(star: StarSet) -> list[tuple[str, ...]]:
+    keys = list(dict.fromkeys(d.fk for d in star.dims))
+    return [(k,) for k in keys] + [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+
+
+def _sketch(star: StarSet, keys: Sequence[str]) -> Column:
+    return F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{c}`") for c in (*keys, star.fact.label)]))
+
+
+def key_sketches(star: StarSet) -> DataFrame:
+    """Distinct-count sketches of the fact's foreign keys, from one scan.
+
+    Those of several parts of a fact may be put together by a union: their sketches are merged when read.
+    """
+    groups = _key_groups(star)
+    sketched = star.fact.df.agg(F.count(F.lit(1)).alias("n"), *[_sketch(star, g).alias(f"s{i}") for i, g in enumerate(groups)])
+    rows = [F.struct(F.array(*map(F.lit, g)).alias("keys"), F.col(f"s{i}").alias("sketch")) for i, g in enumerate(groups)]
+    if not rows:
+        return star.fact.df.sparkSession.createDataFrame([], SKETCHES)
+    return sketched.select("n", F.explode(F.array(*rows)).alias("r")).select("r.keys", "n", "r.sketch")
+
+
+def watch_keys(star: StarSet) -> tuple[StarSet, tuple[list[tuple[str, ...]], Observation] | None]:
+    """The star with its fact rows watched: the first job that reads them takes the sketches along."""
+    groups = _key_groups(star)
+    if not groups:
+        return star, None
+    seen = Observation()
+    df = star.fact.df.observe(seen, *[_sketch(star, g).alias(f"s{i}") for i, g in enumerate(groups)])
+    return replace(star, fact=replace(star.fact, df=df)), (groups, seen)
+
+
+def taken_sketches(taken: tuple[list[tuple[str, ...]], Observation], y: DataFrame) -> DataFrame:
+    """The sketches taken along, a row per group; the rows are those of the class counts ``y``."""
+    groups, seen = taken
+    found = seen.get
+    rows = [(list(g), bytes(found[f"s{i}"])) for i, g in enumerate(groups)]
+    sketched = y.sparkSession.createDataFrame(rows, "keys array<string>, sketch binary").coalesce(1)
+    n = y.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).scalar()
+    return sketched.select("keys", n.alias("n"), "sketch")
+
+
+def _rows_by_size(df: DataFrame) -> int:
+    """A rough number of rows: Spark's estimate of the plan's bytes over the bytes of a row of its types.
+
+    0 where Spark has no estimate either.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    width = 8 + sum(plan.output().apply(i).dataType().defaultSize() for i in range(plan.output().size()))
+    return 0 if size >= UNKNOWN_SIZE else size // width
+
+
+def key_statistics(
+    star: StarSet, sketches: DataFrame | None = None
+) -> tuple[int, list[int], dict[tuple[int, int], int]]:
+    """Fact rows, distinct (key, class) per dimension and distinct key pairs, without reading the fact.
+
+    From ``sketches`` where they cover all the star's keys. Otherwise a key has at most as many values as its
+    dimension has rows, two have at most the product, and the fact's rows are guessed from its bytes; a wrong guess
+    costs time and changes no count.
+    """
+    duos = [(i, j) for i in range(len(star.dims)) for j in range(i + 1, len(star.dims))]
+    fks = [d.fk for d in star.dims]
+    if sketches is not None:
+        merged = sketches.groupBy("keys").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("d"))
+        known = {frozenset(r["keys"]): (r["n"], max(r["d"], 1)) for r in merged.filter(F.size("keys") <= 2).collect()}
+        if {frozenset(g) for g in _key_groups(star)} <= known.keys():
+            per_pair = {(i, j): known[frozenset((fks[i], fks[j]))][1] for i, j in duos}
+            n_rows = max((known[frozenset((fk,))][0] for fk in fks), default=0)
+            return n_rows, [known[frozenset((fk,))][1] for fk in fks], per_pair
+    n_rows = _rows_by_size(star.fact.df)
+    per_key = [max(n, 1) for n in dimension_rows(star)]
+    return n_rows, per_key, {(i, j): min(per_key[i] * per_key[j], n_rows) for i, j in duos}
 
 
 def join_dimensions(star: StarSet, which: Sequence[int]) -> StarSet:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from kadence.operators import star as S
 from kadence.operators import structure as T
 from kadence.operators.network import Network
 from kadence.operators.params import conditional_counts, model_table
-from kadence.sources.staging import stage
+from kadence.sources.staging import is_complete, new_stage_path, stage, stage_parts
 from kadence.sources.training import TrainingSet, encode_categories
 
 
@@ -22,22 +23,58 @@ def _at(path: str | None, name: str) -> str | None:
     return f"{path}/{name}" if path else None
 
 
+def stage_fused(
+    ts: TrainingSet,
+    name: str,
+    path: str | None = None,
+    pregroup: bool | str = False,
+    skip_pairs: Sequence[tuple[str, str]] = (),
+    tile_attrs: int = C.TILE_ATTRS,
+    resume: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Attribute and pair counts, staged in one table.
+
+    The diagonal goes to its own partition, so reading the small attribute counts never touches the pair cells.
+    Up to ``tile_attrs`` attributes take one scan. More are counted tile by tile, each a job of its own that reads its
+    columns only and is written before the next begins; ``resume`` keeps the tiles an earlier run wrote to ``path``.
+    """
+    if resume and path is None:
+        raise ValueError("only a run with a path of its own can be resumed")
+
+    def split(fused: DataFrame) -> DataFrame:
+        return fused.withColumn("pair", (F.col("attr_num1") != F.col("attr_num2")).cast("int"))
+
+    def part(tile: tuple[Sequence[str], Sequence[str]]) -> Callable[[], DataFrame]:
+        return lambda: split(C.tile_counts(ts, tile, pregroup, skip_pairs))
+
+    tiles = C.column_tiles(ts, tile_attrs)
+    if len(tiles) == 1:
+        fused = stage(part(tiles[0])(), name, path, partition_by=["pair"])
+    else:
+        described = repr((ts.label, ts.attrs, ts.attr_nums, ts.null_policy, tile_attrs, sorted(skip_pairs)))
+        layout = hashlib.sha256(described.encode()).hexdigest()[:16]
+        path = path or new_stage_path(ts.df.sparkSession, name)
+        parts = [part(tile) for tile in tiles]
+        fused = stage_parts(parts, name, path, layout, partition_by=["pair"], resume=resume).drop("part")
+    return C.xy_of(fused.filter(F.col("pair") == 0)), fused.filter(F.col("pair") == 1).drop("pair")
+
+
 def stage_counts(
-    ts: TrainingSet, with_pairs: bool = True, pregroup: bool | str = False, path: str | None = None
+    ts: TrainingSet,
+    with_pairs: bool = True,
+    pregroup: bool | str = False,
+    path: str | None = None,
+    tile_attrs: int = C.TILE_ATTRS,
+    resume: bool = False,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """One scan of the training rows into staged xy and pair counts, and n(class).
+    """The training rows as staged xy and pair counts, and n(class), by ``stage_fused``.
 
-    ``path`` is overwritten. The diagonal goes to its own partition, so reading
-    the small attribute counts never touches the pair cells.
+    ``path`` is overwritten, but for the tiles that ``resume`` keeps.
     """
     if not ts.attrs:
         raise ValueError("no attributes besides the label")
     if with_pairs:
-        fused = C.fused_counts(ts, pregroup)
-        fused = fused.withColumn("pair", (F.col("attr_num1") != F.col("attr_num2")).cast("int"))
-        fused = stage(fused, "counts", _at(path, "counts"), partition_by=["pair"])
-        xy = C.xy_of(fused.filter(F.col("pair") == 0))
-        pairs = fused.filter(F.col("pair") == 1).drop("pair")
+        xy, pairs = stage_fused(ts, "counts", _at(path, "counts"), pregroup, (), tile_attrs, resume)
     else:
         # One line per attribute is too little to merge rows for, unless asked.
         xy = stage(C.attr_class_counts(ts, pregroup is True), "counts", _at(path, "counts"))
@@ -60,13 +97,19 @@ def learn_structure(
     empty_as_null: bool = False,
     exclude: Sequence[str] = (),
     pregroup: bool | str = False,
+    tile_attrs: int = C.TILE_ATTRS,
     stage_path: str | None = None,
+    resume: bool = False,
 ) -> DataFrame:
-    """The structure table of a k-dependence network over a flat table."""
+    """The structure table of a k-dependence network over a flat table.
+
+    A table with more than ``tile_attrs`` attributes is counted in tiles of columns. If such a run is ended, the
+    same call with ``resume`` and the same ``stage_path`` counts only the tiles that are missing.
+    """
     ts = encode_categories(
         df.drop(*exclude), label, null_policy=null_policy, null_token=null_token, empty_as_null=empty_as_null
     )
-    xy, pairs, y = stage_counts(ts, k > 0, pregroup, stage_path)
+    xy, pairs, y = stage_counts(ts, k > 0, pregroup, stage_path, tile_attrs, resume)
     structure = structure_of(xy, pairs, y, k, ts.names, ts.label, ts.label_num, complete=ts.complete)
     return stage(structure.coalesce(1), "structure", _at(stage_path, "structure"))
 
@@ -97,30 +140,44 @@ def structure_of(
     return T.assemble_structure(ranked, T.select_parents(ranked, cmi, k), sizes, y, names, label, label_num)
 
 
-def plan_star(star: S.StarSet, plan: str = "auto") -> tuple[S.StarSet, set[tuple[int, int]]]:
-    """Choose how each dimension is counted.
+def plan_star(
+    star: S.StarSet, plan: str = "auto", sketches: DataFrame | None = None
+) -> tuple[S.StarSet, set[tuple[int, int]]]:
+    """Choose how each dimension is counted; the fact is not read for it.
 
     ``factorised`` counts all dimensions by key, ``joined`` joins them all to the
-    fact. ``auto`` measures how often keys repeat and decides per dimension; pairs
-    of keys that hardly repeat together are counted over joined rows. Without
-    the 'category' null policy every dimension is counted by key.
+    fact. ``auto`` decides per dimension by how often keys repeat, as far as
+    ``sketches`` of an earlier count or, without them, the sizes of the tables
+    tell. Of two dimensions whose keys hardly repeat together one is joined.
+    Without the 'category' null policy every dimension is counted by key, and
+    such pairs over joined rows.
     """
+    moved, flat = _star_choice(star, plan, sketches)
+    return (S.join_dimensions(star, moved) if moved else star), flat
+
+
+def _star_choice(star: S.StarSet, plan: str, sketches: DataFrame | None) -> tuple[list[int], set[tuple[int, int]]]:
+    """Dimensions to join, and pairs of the others to count over joined rows."""
     if plan not in ("auto", "factorised", "joined"):
         raise ValueError(f"unknown star plan {plan!r}")
     if plan == "joined":
-        return S.join_dimensions(star, range(len(star.dims))), set()
+        return list(range(len(star.dims))), set()
     if plan == "factorised":
-        return star, set()
-    n_rows, per_key, per_pair = S.key_statistics(star)
-    by_key = [i for i, d in enumerate(star.dims) if not star.fact.complete or S.counted_by_key(d, n_rows, per_key[i])]
-    moved = [i for i in range(len(star.dims)) if i not in by_key]
-    # Key pairs that hardly repeat together: their cross counts come from joined rows.
-    flat = {
-        (by_key.index(i), by_key.index(j))
-        for (i, j), distinct in per_pair.items()
-        if i in by_key and j in by_key and n_rows < S.ROWS_PER_KEY_PAIR * distinct
+        return [], set()
+    n_rows, per_key, per_pair = S.key_statistics(star, sketches)
+    joinable = star.fact.complete
+    by_key = [i for i, d in enumerate(star.dims) if not joinable or S.counted_by_key(d, n_rows, per_key[i])]
+    apart = {
+        pair
+        for pair, distinct in per_pair.items()
+        if set(pair) <= set(by_key) and n_rows < S.ROWS_PER_KEY_PAIR * distinct
     }
-    return (S.join_dimensions(star, moved) if moved else star), flat
+    while joinable and apart:
+        # The dimension that settles most pairs, then the one that adds the fewest columns.
+        first = max(by_key, key=lambda i: (sum(i in pair for pair in apart), -len(star.dims[i].attrs)))
+        by_key.remove(first)
+        apart = {pair for pair in apart if first not in pair}
+    return [i for i in range(len(star.dims)) if i not in by_key], apart
 
 
 def stage_star_counts(
@@ -128,27 +185,34 @@ def stage_star_counts(
     with_pairs: bool = True,
     plan: str = "auto",
     path: str | None = None,
+    sketches: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Staged xy and pair counts of a whole star, unused keys removed, and n(class).
 
     The fact table is scanned once for the counts; dimensions counted by key are
-    joined to those counts, never to the fact rows.
+    joined to those counts, never to the fact rows. A run with a ``path`` takes
+    sketches of its keys in the same scan and leaves them there, where the next
+    run's ``auto`` finds them unless it is given others.
     """
     S.check_unique_keys(star)
-    star, flat = plan_star(star, plan)
-    fact = star.fact
+    kept = _at(path, "key_sketches")
+    if sketches is None and plan == "auto" and kept and is_complete(star.fact.df.sparkSession, kept):
+        sketches = star.fact.df.sparkSession.read.schema(S.SKETCHES).parquet(kept)
+    moved, flat = _star_choice(star, plan, sketches)
+    watched, taken = S.watch_keys(star) if kept else (star, None)
+    star, watched = (S.join_dimensions(x, moved) if moved else x for x in (star, watched))
+    fact = watched.fact
     if with_pairs:
         keys = {d.fk for d in star.dims if d.key_is_attr}
         skip = [(star.dims[i].fk, star.dims[j].fk) for i, j in flat]
         skip = [(a, b) for a, b in skip if a != b and not keys.issuperset((a, b))]
-        fused = C.fused_counts(fact, skip_pairs=skip)
-        fused = fused.withColumn("pair", (F.col("attr_num1") != F.col("attr_num2")).cast("int"))
-        fused = stage(fused, "fact", _at(path, "fact"), partition_by=["pair"])
-        fact_xy = C.xy_of(fused.filter(F.col("pair") == 0))
-        fact_pairs = fused.filter(F.col("pair") == 1).drop("pair")
+        fact_xy, fact_pairs = stage_fused(fact, "fact", _at(path, "fact"), skip_pairs=skip)
     else:
         fact_xy, fact_pairs = stage(C.attr_class_counts(fact), "fact", _at(path, "fact")), None
     y = _stage_classes(fact_xy, fact.attr_nums[0], path)
+    # Spark answers a job over no rows without running it, so nothing is watched then.
+    if taken is not None and not y.isEmpty():
+        stage(S.taken_sketches(taken, y), "key_sketches", kept)
     if fact.complete:
         # Only columns moved in from a dimension can be null here.
         fact_xy = fact_xy.filter(F.col("attr_value").isNotNull())
@@ -178,6 +242,7 @@ def learn_structure_star(
     plan: str = "auto",
     check_keys: bool = False,
     stage_path: str | None = None,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """The structure table over a star; see ``plan_star`` for how it is counted.
 
@@ -185,7 +250,8 @@ def learn_structure_star(
     attributes. Whether there are any shows in the staged counts; if so, the
     measures use the general plan, which does not need the counts to be
     consistent. ``check_keys`` makes it an error. A dimension with several rows
-    of one key is an error in every plan.
+    of one key is an error in every plan. ``sketches`` (``key_sketches``, of one
+    or more parts of the fact) inform the ``auto`` plan.
     """
     star = S.encode_star(
         fact,
@@ -196,7 +262,7 @@ def learn_structure_star(
         null_token=null_token,
         empty_as_null=empty_as_null,
     )
-    xy, pairs, y = stage_star_counts(star, k > 0, plan, stage_path)
+    xy, pairs, y = stage_star_counts(star, k > 0, plan, stage_path, sketches)
     lost = []
     if star.fact.complete:
         # One row per dimension.

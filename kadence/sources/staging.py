@@ -13,9 +13,10 @@ import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 _run: contextvars.ContextVar[str | None] = contextvars.ContextVar("staging_run", default=None)
@@ -62,8 +63,18 @@ def staging_run(spark: SparkSession) -> Iterator[str]:
         yield root
     finally:
         _run.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, root)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has come to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def stage(
@@ -87,3 +98,30 @@ def stage(
     fields = [f for f in df.schema if f.name not in partitions] + list(partitions.values())
     schema = type(df.schema)(fields)
     return spark.read.schema(schema).parquet(path).select(*df.columns)
+
+
+def stage_parts(
+    parts: Sequence[Callable[[], DataFrame]],
+    name: str,
+    path: str,
+    layout: str,
+    partition_by: Sequence[str] = (),
+    resume: bool = False,
+) -> DataFrame:
+    """One table written part by part, a folder each, and read back with the part's number as ``part``.
+
+    With ``resume`` the parts that an earlier run of the same ``layout`` completed are kept, so a run that was
+    ended goes on where it stopped; the caller answers for the rows being the same. Otherwise ``path`` is cleared.
+    """
+    schema = parts[0]().schema
+    spark = parts[0]().sparkSession
+    if not resume:
+        _remove(spark, path)
+    root = f"{path}/layout={layout}"
+    for number, part in enumerate(parts):
+        if not is_complete(spark, f"{root}/part={number}"):
+            stage(part(), name, f"{root}/part={number}", partition_by)
+    partitions = {c: schema[c] for c in partition_by}
+    fields = [f for f in schema if f.name not in partitions]
+    read_as = type(schema)([*fields, T.StructField("part", T.IntegerType()), *partitions.values()])
+    return spark.read.schema(read_as).parquet(root).select(*schema.names, "part")
