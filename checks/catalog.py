@@ -981,11 +981,12 @@ def r6_many_classes(spark, sf):
     structure = T.structure_from_parents(sizes, C.class_counts(ts).count(), ts.names, ts.label, ts.label_num, X.BUYER_PARENTS)
     model = kd.learn_parameters(X.buyer_rows(spark, sf), structure)
     customers = X.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    out = kd.predict_classes(customers, model, structure, id_col="c_custkey", plan="evidence")
+    # Customers of one segment and nation have the same probabilities: these are worked out once per profile.
+    out, members = kd.predict_profiles(customers, model, structure, id_col="c_custkey", plan="evidence")
     probs = F.map_values("class_probs")
     squared = F.aggregate(probs, F.lit(0.0), lambda a, p: a + p * p).alias("squared")
-    found = out.select("row_id", "predicted_class", rounded("predicted_prob"), F.size(probs).cast("bigint").alias("n_classes"), squared)
-    return found.withColumn("squared", rounded("squared"))
+    found = out.select("profile_id", "predicted_class", rounded("predicted_prob"), F.size(probs).cast("bigint").alias("n_classes"), squared)
+    return members.join(found.withColumn("squared", rounded("squared")), "profile_id").drop("profile_id")
 
 
 @query("r7_normalise_log_scores", O.with_ctes(O.score_ctes(X.ORDERS, X.ORDER_PARENTS, X.SHIFTED_SQL), PROB_BODY))

@@ -10,7 +10,7 @@ from kadence.plans.learning import (
     learn_structure,
     learn_structure_star,
 )
-from kadence.plans.scoring import loocv, predict_classes, predict_proba, predict_sample
+from kadence.plans.scoring import loocv, predict_classes, predict_proba, predict_profiles, predict_sample
 from kadence.sources.staging import staging_run
 from kadence.sources.tables import (
     load_model,
@@ -49,6 +49,7 @@ __all__ = [
     "model_table",
     "predict_classes",
     "predict_proba",
+    "predict_profiles",
     "predict_sample",
     "prune_model",
     "prune_structure",

@@ -19,8 +19,11 @@ def log_m_estimate(n: Column, total: Column, values: Column | float) -> Column:
 
 
 def normalise_vector(scores: Column) -> Column:
-    """Softmax of an array of scores, shifted by the maximum."""
-    peak = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - peak))
+    """Softmax of an array of scores, shifted by the maximum.
+
+    The maximum and the sum come as arrays beside the scores: within a lambda they would be worked out per element.
+    """
+    beside = lambda value: F.array_repeat(value, F.size(scores))
+    weights = F.zip_with(scores, beside(F.array_max(scores)), lambda s, peak: F.exp(s - peak))
     mass = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(weights, lambda w: w / mass)
+    return F.zip_with(weights, beside(mass), lambda w, total: w / total)

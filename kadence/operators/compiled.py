@@ -148,7 +148,7 @@ def _nest(rows: DataFrame, keys: list[str], k: int, vectors: list[str]) -> DataF
 
 def _class_vectors(df: DataFrame, keys: list[str], columns: list[str], classes: Column) -> DataFrame:
     """The rows of each key as vectors in the order of ``classes``; a key without a row for each is an error."""
-    entries = F.array_sort(F.collect_list(F.struct("class", *columns)))
+    entries = F.sort_array(F.collect_list(F.struct("class", *columns)))
     whole = F.col("entries.class") == classes
     message = F.lit("a model cell has no row for some class; fill the model before compiling it")
     vectors = [F.when(whole, F.col(f"entries.{c}")).otherwise(F.raise_error(message)).alias(c) for c in columns]
@@ -166,7 +166,7 @@ def compile_model(model: DataFrame, structure: DataFrame, path: str | None = Non
     at = lambda name: f"{path}/{name}" if path else None
     n, total, values = F.col("n"), F.col("parents_count"), F.col("num_values")
     rows = model.filter(F.col("attr_name").isNotNull()).withColumn("log_prob", log_m_estimate(n, total, values))
-    priors = F.array_sort(F.collect_list(F.struct("class", "n")))
+    priors = F.sort_array(F.collect_list(F.struct("class", "n")))
     class_table = model.filter(F.col("attr_name").isNull()).agg(priors.alias("priors"))
     class_table = class_table.select(F.col("priors.class").alias("classes"), F.col("priors.n").alias("counts"))
     class_table = stage(class_table, "class_table", at("class_table"))

@@ -192,26 +192,34 @@ def attribute_cells(counts: DataFrame) -> DataFrame:
 
 def class_list(y: DataFrame) -> Column:
     """All classes in order, as a scalar subquery (one entry per class)."""
-    return y.agg(F.array_sort(F.collect_set("class"))).scalar()
+    return y.agg(F.sort_array(F.collect_set("class"))).scalar()
 
 
 def class_vectors(counts: DataFrame, keys: Sequence[str], classes: Column, name: str) -> DataFrame:
     """One row per key with the counts of all classes in class order.
 
-    A group holds at most one entry per class.
+    A group holds at most one entry per class; another is an error. A zero for every class and the entries are sorted
+    together, so each zero has its class's entry beside it: no class is searched for in a list.
     """
-    by_class = F.map_from_entries(F.collect_list(F.struct("class", "n")))
+    entry = F.struct("class", F.lit(1).alias("counted"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    zeros = F.transform("classes", lambda c: F.struct(c.alias("class"), F.lit(0).alias("counted"), F.lit(0).cast("bigint").alias("n")))
+    sides = F.zip_with("all", F.slice("all", F.lit(2), F.size("all")), _count_beside)
     return (
         counts.groupBy(*keys)
-        .agg(by_class.alias("by_class"))
+        .agg(F.collect_list(entry).alias("entries"))
         .withColumn("classes", classes)
-        .select(
-            *keys,
-            F.transform("classes", lambda c: F.coalesce(F.element_at("by_class", c), F.lit(0).cast("bigint"))).alias(name),
-        )
+        .select(*keys, F.sort_array(F.concat(zeros, "entries")).alias("all"))
+        .select(*keys, F.filter(sides, lambda n: n.isNotNull()).alias(name))
     )
 
 
+def _count_beside(a: Column, b: Column) -> Column:
+    """The count of a class, told by its zero ``a`` and what follows; null where ``a`` is an entry."""
+    same = a["class"] == b["class"]
+    twice = F.raise_error(F.lit("a cell is counted twice for one class")).cast("bigint")
+    return F.when(a["counted"] == 0, F.when(same, b["n"]).otherwise(a["n"])).when(same, twice)
+
+
 def _explode_classes(vectors: DataFrame, keys: Sequence[str], classes: Column, columns: Sequence[str]) -> DataFrame:
     zipped = F.arrays_zip(classes.alias("class"), *[F.col(c) for c in columns])
     return vectors.select(*keys, F.explode(zipped).alias("z")).select(*keys, "z.class", *[f"z.{c}" for c in columns])

@@ -81,6 +81,24 @@ def scoring_rows(
     return ids.select(ROW_ID, *[F.col(f"`{c}`") for c in keep], *values)
 
 
+def distinct_profiles(rows: DataFrame, net: Network) -> DataFrame:
+    """One row per distinct combination of the model's attributes in ``scoring_rows``; its ``row_id`` is a number.
+
+    The numbers are given anew on each run, so stage the profiles before they are used twice.
+    """
+    slots = [_slot(net, n.name) for n in net.nodes]
+    found = rows.select(F.lit(0).alias("one"), *slots).distinct().select(*slots)
+    return found.select(F.monotonically_increasing_id().alias(ROW_ID), *slots)
+
+
+def profile_of_rows(rows: DataFrame, profiles: DataFrame, net: Network, keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, carried columns, profile_id): the profile of every row."""
+    slots = [_slot(net, n.name) for n in net.nodes]
+    right = profiles.select(F.col(ROW_ID).alias("profile_id"), *[F.col(c).alias(f"__{c}") for c in slots])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in slots] or [F.lit(True)]
+    return rows.join(right, same).select(ROW_ID, *[F.col(f"`{c}`") for c in keep], "profile_id")
+
+
 def rows_to_evidence(rows: DataFrame, net: Network, keep: Sequence[str] = (), drop_null: bool = True) -> DataFrame:
     """One line per row and attribute: (row, attr_num, level, value, parent values).
 
@@ -186,12 +204,16 @@ def _deepest_vector(cells: Sequence[str], zeros: Sequence[str | None], backoff:
 
 
 def chunk_rows(lines: DataFrame, vectors: Sequence[str], classes: int, width: int) -> DataFrame:
-    """A row per line and chunk of ``width`` classes; ``chunk`` is its number, vectors hold the chunk's entries."""
+    """A row per line and chunk of ``width`` classes; ``chunk`` is its number, vectors hold the chunk's entries.
+
+    Vectors are cut before the line is repeated, so no chunk's row carries a whole vector.
+    """
     if classes <= width:
         return lines.withColumn("chunk", F.lit(0))
     chunks = F.sequence(F.lit(0), F.lit((classes - 1) // width))
-    rows = lines.withColumn("chunk", F.explode(chunks))
-    return rows.withColumns({v: F.slice(v, F.col("chunk") * width + 1, width) for v in vectors})
+    cut = lambda c: F.struct(c.alias("chunk"), *[F.slice(v, c * width + 1, width).alias(v) for v in vectors])
+    carried = [c for c in lines.columns if c not in vectors]
+    return lines.select(*[F.col(f"`{c}`") for c in carried], F.inline(F.transform(chunks, cut)))
 
 
 def _scores_by_evidence(rows: DataFrame, model: CompiledModel, keep: Sequence[str], backoff: str, limit: int) -> DataFrame:

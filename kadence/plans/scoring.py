@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from kadence.operators import evaluate as E
 from kadence.operators import predict as P
 from kadence.operators.compiled import BROADCAST_BYTES, CompiledModel, compile_model
+from kadence.sources.staging import stage
 
 Model = DataFrame | CompiledModel
 
@@ -67,6 +68,34 @@ def predict_classes(
     return P.predict_class(probs, compiled, keep)
 
 
+def predict_profiles(
+    df: DataFrame,
+    model: Model,
+    structure: DataFrame | None = None,
+    *,
+    id_col: str | None = None,
+    keep: Sequence[str] = (),
+    include_prior: bool = True,
+    backoff: str = "pair",
+    plan: str = "auto",
+    limit: int = BROADCAST_BYTES,
+    **encoding,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions per profile, and (row_id, profile_id) of every row.
+
+    A profile is a distinct combination of the model's attributes; rows that share one have the same result. The first
+    table is that of ``predict_classes`` by ``profile_id``. With many classes the profiles are scored once, and what is
+    derived from their probabilities can be joined to the rows without a vector of classes per row. Without the prior,
+    profiles that match nothing have no prediction.
+    """
+    compiled = _compiled(model, structure)
+    rows = P.scoring_rows(df, compiled.net, id_col, keep, **encoding)
+    profiles = stage(P.distinct_profiles(rows, compiled.net), "profiles")
+    scores = P.class_log_scores(profiles, compiled, include_prior=include_prior, backoff=backoff, plan=plan, limit=limit)
+    predicted = P.predict_class(P.normalise_log_scores(scores, compiled), compiled)
+    return predicted.withColumnRenamed(P.ROW_ID, "profile_id"), P.profile_of_rows(rows, profiles, compiled.net, keep)
+
+
 def predict_sample(
     df: DataFrame,
     model: Model,

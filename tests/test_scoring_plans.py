@@ -1,6 +1,7 @@
 """Shapes of the scoring plans, many classes, the grid of the dense fill and compacted logs."""
 
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import kadence as kd
 from kadence.functions import measures as M
+from kadence.functions.probability import normalise_vector
 from kadence.operators import params as B
 from kadence.operators import predict as P
 
@@ -58,6 +60,54 @@ def test_many_classes(spark):
         assert abs(a - b) < 0.02 * a
 
 
+def test_profiles_are_scored_once(spark):
+    df = buyers(spark, 150)
+    structure = kd.learn_structure(df, "y", 1)
+    model = kd.compile_model(kd.learn_parameters(df, structure), structure)
+    odd = spark.createDataFrame([(None, "b1"), (None, "b1"), ("new", None), (None, None)], "a string, b string")
+    rows = df.select("a", "b").unionByName(odd).withColumn("id", F.monotonically_increasing_id())
+    profiles, members = kd.predict_profiles(rows, model, id_col="id", keep=["a"], plan="evidence")
+    assert members.count() == rows.count() == 604
+    assert profiles.count() == rows.select("a", "b").distinct().count() == 18
+    want = {r.row_id: r for r in kd.predict_classes(rows, model, id_col="id", keep=["a"], plan="evidence").collect()}
+    found = members.join(profiles, "profile_id").collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert (r.a, r.predicted_class) == (want[r.row_id].a, want[r.row_id].predicted_class)
+        assert all(math.isclose(p, want[r.row_id].class_probs[c], rel_tol=1e-9) for c, p in r.class_probs.items())
+
+
+def test_chunks_do_not_repeat_whole_vectors(spark):
+    lines = spark.range(2).select("id", F.when(F.col("id") == 1, F.sequence(F.lit(1), F.lit(10))).alias("v"))
+    out = P.chunk_rows(lines, ["v"], 10, 4)
+    assert sorted(map(tuple, out.select("id", "chunk", "v").collect())) == [
+        (0, 0, None), (0, 1, None), (0, 2, None), (1, 0, [1, 2, 3, 4]), (1, 1, [5, 6, 7, 8]), (1, 2, [9, 10])
+    ]
+    # Nothing cuts a chunk out of a vector that the repeated row still has.
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "slice" not in plan.split("Generate")[0]
+
+
+def test_class_vectors_are_linear_in_the_classes(spark):
+    """Twelve thousand classes in every cell: searching each one in a list takes minutes."""
+    n = 12000
+    rows = spark.range(40 * n).select((F.col("id") % 40).alias("cell"), F.concat(F.lit("c"), (F.col("id") / 40).cast("int")).alias("class"), "id")
+    counts = rows.filter("cell > 0 or class <> 'c7'").select("cell", "class", F.col("id").alias("n"))
+    classes = B.class_list(rows.select("class").distinct())
+    start = time.time()
+    found = B.class_vectors(counts, ["cell"], classes, "n").select("cell", F.size("n").alias("size"), F.get("n", F.lit(2)).alias("third"), F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("sum"))
+    found = {r.cell: r for r in found.collect()}
+    probs = spark.range(40).select(normalise_vector(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: -F.log(i.cast("double")))).alias("p"))
+    assert all(math.isclose(r.s, 1.0) for r in probs.select(F.aggregate("p", F.lit(0.0), lambda a, b: a + b).alias("s")).collect())
+    assert time.time() - start < 120
+    assert len(found) == 40 and all(r.size == n for r in found.values())
+    # Third in order is c10, after c0, c1.
+    assert found[3].third == 10 * 40 + 3
+    assert found[0].sum == sum(40 * i for i in range(n)) - 280 and found[1].sum == sum(40 * i + 1 for i in range(n))
+    with pytest.raises(Exception, match="counted twice"):
+        B.class_vectors(counts.union(counts.limit(1)), ["cell"], classes, "n").collect()
+
+
 def test_left_out_scores_by_chunks(spark, hand, hand_model, monkeypatch):
     from kadence.operators import evaluate as E
 
