@@ -145,8 +145,8 @@ def plan_star(
 ) -> tuple[S.StarSet, set[tuple[int, int]]]:
     """Choose how each dimension is counted; the fact is not read for it.
 
-    ``factorised`` counts all dimensions by key, ``joined`` joins them all to the
-    fact. ``auto`` decides per dimension by how often keys repeat, as far as
+    ``factorised`` joins dimensions to counts of the fact only: by key, or to its
+    distinct rows if keys hardly repeat. ``joined`` joins them all to the fact. ``auto`` decides per dimension by how often keys repeat, as far as
     ``sketches`` of an earlier count or, without them, the sizes of the tables
     tell. Of two dimensions whose keys hardly repeat together one is joined.
     Without the 'category' null policy every dimension is counted by key, and
@@ -200,6 +200,14 @@ def stage_star_counts(
         sketches = star.fact.df.sparkSession.read.schema(S.SKETCHES).parquet(kept)
     moved, flat = _star_choice(star, plan, sketches)
     watched, taken = S.watch_keys(star) if kept else (star, None)
+    if with_pairs and plan == "factorised" and star.dims and star.fact_attr_nums and not S.keys_repeat(star, sketches):
+        rows = S.star_fused_counts(watched).withColumn("pair", (F.col("attr_num1") != F.col("attr_num2")).cast("int"))
+        fused = stage(rows, "star_counts", _at(path, "star_counts"), partition_by=["pair"])
+        xy = C.xy_of(fused.filter(F.col("pair") == 0))
+        y = _stage_classes(xy, star.fact_attr_nums[0], path)
+        if taken is not None and not y.isEmpty():
+            stage(S.taken_sketches(taken, y), "key_sketches", kept)
+        return xy, fused.filter(F.col("pair") == 1).drop("pair"), y
     star, watched = (S.join_dimensions(x, moved) if moved else x for x in (star, watched))
     fact = watched.fact
     if with_pairs:
