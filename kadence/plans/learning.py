@@ -145,8 +145,8 @@ def plan_star(
 ) -> tuple[S.StarSet, set[tuple[int, int]]]:
     """Choose how each dimension is counted; the fact is not read for it.
 
-    ``factorised`` joins dimensions to counts of the fact only: by key, or to its
-    distinct rows if keys hardly repeat. ``joined`` joins them all to the fact. ``auto`` decides per dimension by how often keys repeat, as far as
+    ``factorised`` joins dimensions to counts of the fact only, or to its rows
+    if keys hardly repeat. ``joined`` joins them all to the fact. ``auto`` decides per dimension by how often keys repeat, as far as
     ``sketches`` of an earlier count or, without them, the sizes of the tables
     tell. Of two dimensions whose keys hardly repeat together one is joined.
     Without the 'category' null policy every dimension is counted by key, and
