@@ -986,10 +986,11 @@ def r6_many_classes(spark, sf):
     model = kd.learn_parameters(X.buyer_rows(spark, sf), structure)
     customers = X.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     # Customers of one segment and nation have the same probabilities: these are worked out once per profile.
-    out, members = kd.predict_profiles(customers, model, structure, id_col="c_custkey", plan="evidence")
+    out, members = kd.predict_profiles(customers, model, structure, id_col="c_custkey", plan="evidence", in_parts=True)
     probs = F.map_values("class_probs")
     squared = F.aggregate(probs, F.lit(0.0), lambda a, p: a + p * p).alias("squared")
-    found = out.select("profile_id", "predicted_class", rounded("predicted_prob"), F.size(probs).cast("bigint").alias("n_classes"), squared)
+    parts = out.select("profile_id", "predicted_class", rounded("predicted_prob"), F.size(probs).cast("bigint").alias("n_classes"), squared)
+    found = parts.groupBy("profile_id", "predicted_class", "predicted_prob").agg(F.sum("n_classes").alias("n_classes"), F.sum("squared").alias("squared"))
     return members.join(found.withColumn("squared", rounded("squared")), "profile_id").drop("profile_id")
 
 

@@ -18,7 +18,7 @@ LOOCV_SUMS = 64
 
 def _left_out_prior(own: Column, n: Column, model: CompiledModel) -> Column:
     """P(class) from the counts without the row; ``own`` is one for the row's own class."""
-    return m_estimate(n - own, F.lit(float(sum(model.class_counts)) - 1.0), float(len(model.classes)))
+    return m_estimate(n - own, F.lit(float(model.num_rows) - 1.0), float(model.num_classes))
 
 
 def loocv_class_prior(rows: DataFrame, model: CompiledModel, label: str) -> DataFrame:
@@ -47,7 +47,7 @@ def loocv_scores(
     may repeat. An attribute whose value the model does not know gives no term; a
     known value that was never counted with the row's class is an error.
     """
-    net, k, classes = model.net, model.k, len(model.classes)
+    net, k, classes = model.net, model.k, model.num_classes
     rows = rows.filter(F.col(label).isNotNull()).withColumn(ROW_KEY, F.monotonically_increasing_id())
     evidence = rows_to_evidence(rows, net, [ROW_KEY, label], drop_null=False)
     lines = match_with_backoff(evidence, model, ["n", "parents_count", "support"], limit)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kadence.conventions import PRIOR_NUM, parent_columns
 from kadence.functions.probability import log_m_estimate, m_estimate
+from kadence.operators.chunks import CHUNK, ClassChunks, counts_of, entries_by_chunk
 from kadence.operators.counts import name_of, weighted_rows
 from kadence.operators.network import Network, Node
 from kadence.sources.training import TrainingSet
@@ -242,7 +243,7 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Co
     return [left[c].eqNullSafe(right[f"__{c}"]) if c.startswith("parent") else left[c] == right[f"__{c}"] for c in keys]
 
 
-def _join_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     right = right.withColumnsRenamed({c: f"__{c}" for c in keys})
     return left.join(right, _same_key(left, right, keys), how).drop(*[f"__{c}" for c in keys])
 
@@ -261,7 +262,7 @@ def with_parents_count(cells: DataFrame, counts: DataFrame, y: DataFrame, k: int
     top = cells.filter(F.col("level") == 0).join(F.broadcast(flat), "attr_num").select(*cells.columns, "parents_count")
     if not k:
         return top
-    deeper = _join_on_key(cells.filter(F.col("level") > 0), totals.filter(F.col("level") > 0), keys)
+    deeper = join_on_key(cells.filter(F.col("level") > 0), totals.filter(F.col("level") > 0), keys)
     return top.unionByName(deeper.select(*cells.columns, "parents_count"))
 
 
@@ -285,7 +286,7 @@ def dense_cells(counts: DataFrame, y: DataFrame, k: int, domains: DataFrame | No
     grid = _grid(paths, domains, k)
     seen = class_vectors(attribute_cells(counts), cell_columns(k), classes, "n")
     zeros = F.transform(F.col("parents_count"), lambda _: F.lit(0).cast("bigint"))
-    return _join_on_key(grid, seen, cell_columns(k), "left").select(
+    return join_on_key(grid, seen, cell_columns(k), "left").select(
         *cell_columns(k), F.coalesce("n", zeros).alias("n"), "parents_count"
     )
 
@@ -305,6 +306,45 @@ def _grid(paths: DataFrame, domains: DataFrame, k: int) -> DataFrame:
     return left.join(right, ["attr_num", "path_block", "value_block"]).drop("path_block", "value_block")
 
 
+def chunked_cells(counts: DataFrame, net: Network, chunks: ClassChunks, fill: str = "sparse") -> DataFrame:
+    """The cells of ``sparse_cells`` or ``dense_cells`` with a row per chunk of the classes, and their ``num_values``.
+
+    Only the entries that were counted are moved; zeros are filled in where the vectors are made.
+    """
+    k = net.k
+    keys, paths = cell_columns(k), path_columns(k)
+    sizes = F.broadcast(chunks.sizes())
+    seen = entries_by_chunk(attribute_cells(counts), keys, chunks, ["n"], "entries")
+    totals = entries_by_chunk(path_counts(counts, k), paths, chunks, ["n"], "path_entries")
+    if _known_fill(fill) == "sparse":
+        grid = attribute_cells(counts).select(*keys).distinct().crossJoin(sizes)
+    else:
+        level0 = attribute_cells(counts).filter(F.col("level") == 0)
+        every = attribute_cells(counts).select(*paths).distinct().crossJoin(sizes)
+        grid = _grid(every, level0.select("attr_num", "attr_value").distinct(), k)
+    # The path's entries come last: joined earlier, they would be moved once for each of its values.
+    rows = join_on_key(join_on_key(grid, seen, [*keys, CHUNK], "left"), totals, [*paths, CHUNK], "left")
+    return rows.select(
+        *keys,
+        CHUNK,
+        counts_of("entries", "size").alias("n"),
+        counts_of("path_entries", "size").alias("parents_count"),
+        num_values_of(net, F.col("attr_num")).alias("num_values"),
+    )
+
+
+def chunked_model_table(cells: DataFrame, net: Network, chunks: ClassChunks, limit: int) -> DataFrame:
+    """The model table out of ``chunked_cells``: a row per cell and class, and the prior rows."""
+    k = net.k
+    names = chunks.table.select(F.col(CHUNK).alias("__chunk"), "classes")
+    names = F.broadcast(names) if chunks.text <= limit else names
+    rows = cells.join(names, F.col(CHUNK) == F.col("__chunk"))
+    rows = _explode_classes(rows, [*cell_columns(k), "num_values"], F.col("classes"), ["n", "parents_count"])
+    rows = rows.withColumn("attr_name", name_of(net.names, F.col("attr_num")))
+    y = chunks.table.select(F.inline(F.arrays_zip(F.col("classes").alias("class"), F.col("counts").alias("n"))))
+    return rows.select(*model_columns(k)).unionByName(class_prior_rows(y, k))
+
+
 def num_values_of(net: Network, num: Column) -> Column:
     """Domain size for an attribute number, from the structure."""
     sizes = {n.attr_num: n.num_values for n in net.nodes}
@@ -342,6 +382,12 @@ def model_columns(k: int) -> list[str]:
     ]
 
 
+def _known_fill(fill: str) -> str:
+    if fill not in ("sparse", "dense"):
+        raise ValueError(f"unknown fill {fill!r}")
+    return fill
+
+
 def model_table(
     counts: DataFrame,
     net: Network,
@@ -355,11 +401,9 @@ def model_table(
     values that the counts hold, which suits counts that rows were added to or
     removed from since the structure was learned.
     """
-    if fill not in ("sparse", "dense"):
-        raise ValueError(f"unknown fill {fill!r}")
     k = net.k
     y = prior_counts(counts)
-    cells = sparse_cells(counts, y, k) if fill == "sparse" else dense_cells(counts, y, k, domains)
+    cells = sparse_cells(counts, y, k) if _known_fill(fill) == "sparse" else dense_cells(counts, y, k, domains)
     rows = _explode_classes(cells, cell_columns(k), class_list(y), ["n", "parents_count"])
     rows = rows.withColumns(
         {

@@ -13,8 +13,10 @@ from kadence.functions import measures
 from kadence.operators import counts as C
 from kadence.operators import star as S
 from kadence.operators import structure as T
+from kadence.operators.chunks import CLASSES_PER_VECTOR, class_chunks
+from kadence.operators.compiled import BROADCAST_BYTES, keep_cells
 from kadence.operators.network import Network
-from kadence.operators.params import conditional_counts, model_table
+from kadence.operators.params import chunked_cells, chunked_model_table, conditional_counts, model_table, prior_counts
 from kadence.sources.staging import is_complete, new_stage_path, stage, stage_parts
 from kadence.sources.training import TrainingSet, encode_categories
 
@@ -310,14 +312,23 @@ def learn_parameters(
     pregroup: bool | str = False,
     stage_path: str | None = None,
 ) -> DataFrame:
-    """The model table for a structure, from one scan of the used columns."""
+    """The model table for a structure, from one scan of the used columns.
+
+    With more classes than a vector holds, the cells are staged as vectors by chunk of the classes; the table's rows
+    are read out of these and ``compile_model`` takes the vectors. A named ``stage_path`` gets the rows themselves.
+    """
     net = Network.from_structure(structure)
     used = [F.col(f"`{c}`") for c in (*[n.name for n in net.nodes], net.label)]
     ts = encode_categories(
         df.select(*used), net.label, null_policy=null_policy, null_token=null_token, empty_as_null=empty_as_null
     )
     counts = stage(conditional_counts(ts, net, pregroup), "conditional", _at(stage_path, "conditional"))
-    return stage(model_table(counts, net, fill), "model", _at(stage_path, "model"))
+    chunks = class_chunks(prior_counts(counts))
+    if chunks is None:
+        return stage(model_table(counts, net, fill), "model", _at(stage_path, "model"))
+    cells = stage(chunked_cells(counts, net, chunks, fill), "model_cells", width=CLASSES_PER_VECTOR)
+    rows = chunked_model_table(cells, net, chunks, BROADCAST_BYTES)
+    return stage(rows, "model", _at(stage_path, "model")) if stage_path else keep_cells(rows, cells, chunks)
 
 
 def learn_parameters_star(
